@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, host_rules, token_counts, url_filters
+from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, token_counts, url_filters
 from tidemark.llm.common import table
 
 
@@ -75,6 +75,10 @@ FROM said GROUP BY conv_id
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     ids = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, keep=("doc_id",), offsets=False)
@@ -132,6 +136,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
