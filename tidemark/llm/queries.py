@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, token_counts, url_filters
+from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, pii_feistel, secret_scan, spaced_seeds, token_counts, url_filters
 from tidemark.llm.common import table
 
 
@@ -38,6 +38,16 @@ FROM named n LEFT JOIN (SELECT * FROM fits WHERE rn = 1) f ON n.page_id = f.page
 """
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secret_scan.spans_string(base), 256).alias("base_sha256"), secret_scan.spans_string(F.col("secrets")).alias("spans"), count("random").alias("n_random"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversation -1 is made here; it shows that control strings inside texts survive."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -79,6 +89,15 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: A test key; production keys come from a secret store.
+TEST_KEY = "tidemark-test-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
+    return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     ids = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, keep=("doc_id",), offsets=False)
@@ -133,12 +152,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep=("doc_id",))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_secret_scans": op2_secret_scans,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_quality_rules": OP8_SQL}
