@@ -235,7 +235,7 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = (), offsets: bool = True, chars: int = 1 << 20) -> DataFrame:
-    """The columns `keep`, then ids (binary, little-endian unsigned 32-bit), n_tokens and offsets (where each token starts, in UTF-8 bytes).
+    """The columns `keep`, then ids (binary, little-endian unsigned 32-bit), n_tokens and offsets (binary like ids: where each token starts, in UTF-8 bytes).
 
     ranks: path of a tiktoken file of a byte-level vocabulary. Every whole text is encoded without special tokens; a
     null text is empty and has no ids. Rows are independent: repeated rows get equal ids, an empty table stays empty;
@@ -243,7 +243,7 @@ def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[
     """
     bound_arrow(df.sparkSession)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    schema = ", ".join([*kept, "ids binary", "n_tokens bigint", *["offsets array<bigint>"] * offsets])
+    schema = ", ".join([*kept, "ids binary", "n_tokens bigint", *["offsets binary"] * offsets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(ranks)
@@ -253,7 +253,7 @@ def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[
             columns = [batch.column(k) for k in range(len(keep))]
             columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if offsets:
-                columns.append(pa.array([model.offsets(x)[:-1] for x in ids], pa.list_(pa.int64())))
+                columns.append(pa.array([model.offsets(x)[:-1].astype("<u4").tobytes() for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "n_tokens", *["offsets"] * offsets])
 
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, pii_feistel, secret_scan, spaced_seeds, token_counts, url_filters
+from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, pii_feistel, quality_classifier, secret_scan, spaced_seeds, token_counts, url_filters
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(documents, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_classifier.classify(documents, model)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversation -1 is made here; it shows that control strings inside texts survive."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -159,6 +165,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_pii": op6_pii,
