@@ -15,8 +15,7 @@ def gate_reasons(gates: Sequence[tuple[str, Column]]) -> Column:
 
 def primary(reasons: Column, precedence: Sequence[str]) -> Column:
     """The reason that comes first in the precedence."""
-    order = F.array(*map(F.lit, precedence))
-    return F.element_at(order, F.nullif(F.array_min(F.transform(reasons, lambda r: F.array_position(order, r))), F.lit(0)).cast("int"))
+    return F.get(F.filter(F.array(*map(F.lit, precedence)), lambda r: F.array_contains(reasons, r)), 0)
 
 
 def select_top(candidates: DataFrame, bout: str, order: Sequence[Column], state: str = "state") -> DataFrame:

@@ -27,7 +27,8 @@ def query(sql: str | None):
 
 
 def r(c, n: int = 6):
-    return F.round(c, n)
+    """Rounded, without a negative zero."""
+    return F.round(c, n) + F.lit(0.0)
 
 
 # ---- visibility and joins in time ------------------------------------------------------------------------------------
@@ -95,8 +96,8 @@ def asof_backward_join(spark, d):
 
 
 @query("""WITH v AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS superseded FROM events WHERE event_type = 'view'),
-  p AS (SELECT event_id AS asked, user_id, ts AS at FROM events)
-  SELECT asked, version, v.event_id AS alias_event FROM p JOIN v ON p.user_id = v.user_id AND v.ts <= at AND (superseded IS NULL OR superseded > at)""")
+  p AS (SELECT event_id AS asked, user_id, ts AS asked_at FROM events)
+  SELECT asked, version, v.event_id AS alias_event FROM p JOIN v ON p.user_id = v.user_id AND v.ts <= asked_at AND (superseded IS NULL OR superseded > asked_at)""")
 def alias_interval_join(spark, d):
     e = table(spark, d, "events")
     v = asof.versions(e.where("event_type = 'view'").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
@@ -233,8 +234,8 @@ def odds_conversions(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(dec, 9).alias("dec"), r(odds.implied_probability(dec), 9).alias("implied"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(p * dd - 1, 9) AS ev, round(p * (dd - 1) - (1 - p - v), 9) AS ev_void,
-  round((p * (dd - 1) - (1 - p)) / (dd - 1), 9) AS kelly, round(least(greatest((w * (dd - 1) - (1 - w)) / (dd - 1) * 0.25, 0), 0.01), 9) AS stake
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(p * dd - 1, 9) + 0.0 AS ev, round(p * (dd - 1) - (1 - p - v), 9) + 0.0 AS ev_void,
+  round((p * (dd - 1) - (1 - p)) / (dd - 1), 9) + 0.0 AS kelly, 0.0 + round(least(greatest((w * (dd - 1) - (1 - w)) / (dd - 1) * 0.25, 0), 0.01), 9) AS stake
   FROM (SELECT *, p / (1 - v) AS w FROM (SELECT *, 0.2 + l_discount * 5 AS p, l_tax AS v, 1.5 + l_quantity / 25 AS dd FROM lineitem))""")
 def value_and_kelly(spark, d):
     p, v, dd = 0.2 + F.col("l_discount") * 5, F.col("l_tax"), 1.5 + F.col("l_quantity") / 25
@@ -420,15 +421,12 @@ def sequential_ratings(spark, d):
 
 # ---- scores ---------------------------------------------------------------------------------------------------------------------
 
-_P = "round(value / 500, 2)"
-
-
 def _scored(spark, d):
-    p = F.least(F.greatest(F.round(F.col("value") / 500, 2), F.lit(0.0)), F.lit(1.0))
+    p = F.least(F.greatest(F.floor(F.col("value") / 5) / 100, F.lit(0.0)), F.lit(1.0))
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", p.alias("p"), (F.col("event_type") == "purchase").cast("double").alias("y"), "ts")
 
 
-_S = """s AS (SELECT event_id, user_id, event_type, value, ts, least(greatest(round(value / 500, 2), 0.0), 1.0) AS p, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS y FROM events),
+_S = """s AS (SELECT event_id, user_id, event_type, value, ts, least(greatest(floor(value / 5) / 100, 0.0), 1.0) AS p, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS y FROM events),
   c AS (SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM s)"""
 
 
@@ -460,7 +458,7 @@ def skill_scores(spark, d):
 
 
 @query("""WITH g AS (SELECT l_orderkey AS o, sum(l_quantity) AS t, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS winners, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS w, sum(l_quantity * l_quantity) AS pp FROM lineitem GROUP BY 1)
-  SELECT o, CAST(winners AS BIGINT) AS winners, round(CASE WHEN winners = 1 THEN -ln(greatest(w / t, 1e-15)) END, 9) AS log_loss, round(CASE WHEN winners = 1 THEN pp / (t * t) - 2 * w / t + 1 END, 9) AS brier FROM g""")
+  SELECT o, CAST(winners AS BIGINT) AS winners, round(CASE WHEN winners = 1 THEN -ln(greatest(w / t, 1e-15)) END, 9) + 0.0 AS log_loss, round(CASE WHEN winners = 1 THEN pp / (t * t) - 2 * w / t + 1 END, 9) + 0.0 AS brier FROM g""")
 def grouped_market_scores(spark, d):
     l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_quantity").alias("p"), (F.col("l_returnflag") == "A").alias("won"))
     return scores.multiclass(l, ["o"], "p", "won").select("o", "winners", r("log_loss", 9).alias("log_loss"), r("brier", 9).alias("brier"))
@@ -692,7 +690,7 @@ def health_rollup(spark, d):
 # ---- schedules --------------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH e AS (SELECT event_id, date_diff('second', ts, {T}) AS b FROM events) SELECT event_id, CASE WHEN b <= 0 OR b > 259200 THEN NULL WHEN b > 86400 THEN 'far' WHEN b > 21600 THEN 'mid' WHEN b > 3600 THEN 'near' ELSE 'final' END AS win,
+@query(f"""WITH e AS (SELECT event_id, date_diff('microsecond', ts, {T}) // 1000000 AS b FROM events) SELECT event_id, CASE WHEN b <= 0 OR b > 259200 THEN NULL WHEN b > 86400 THEN 'far' WHEN b > 21600 THEN 'mid' WHEN b > 3600 THEN 'near' ELSE 'final' END AS win,
   CASE WHEN b <= 0 OR b > 259200 THEN NULL WHEN b > 86400 THEN (259200 - b) // 1800 * 1800 WHEN b > 21600 THEN (86400 - b) // 600 * 600 WHEN b > 3600 THEN (21600 - b) // 300 * 300 ELSE (3600 - b) // 120 * 120 END AS slot FROM e""")
 def cadence_slots(spark, d):
     e = table(spark, d, "events").select("event_id", F.timestamp_diff("SECOND", F.col("ts"), cutoff()).alias("b"))
@@ -700,7 +698,7 @@ def cadence_slots(spark, d):
     return e.select("event_id", F.col("c.window").alias("win"), schedule.slot(F.col("c.opens") - F.col("b"), F.col("c.interval")).alias("slot"))
 
 
-@query("""WITH a AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS anchor FROM events), s AS (SELECT event_id, date_diff('second', anchor, ts) AS e FROM a) SELECT event_id, e - e % 1800 AS slot FROM s""")
+@query("""WITH a AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS anchor FROM events), s AS (SELECT event_id, date_diff('microsecond', anchor, ts) // 1000000 AS e FROM a) SELECT event_id, e - e % 1800 AS slot FROM s""")
 def anchored_slots(spark, d):
     from pyspark.sql import Window
 
