@@ -92,10 +92,9 @@ def softmax_loss(theta: np.ndarray, x: np.ndarray, classes: np.ndarray, c: float
     """C times the summed negative log likelihood plus half the squared norm, and its gradient."""
     z = x @ theta
     z = z - z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    rows = np.arange(len(x))
-    loss = -c * np.log(p[rows, classes]).sum() + 0.5 * (theta**2).sum()
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    p, rows = np.exp(z), np.arange(len(x))
+    loss = -c * z[rows, classes].sum() + 0.5 * (theta**2).sum()
     p[rows, classes] -= 1
     return float(loss), c * x.T @ p + theta
 

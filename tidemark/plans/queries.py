@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import odds, outcomes, text
 from tidemark.operators import asof, ledger, markets, paths, policy, quality, quotes, ratings, resample, schedule, scores
+from tidemark.sources import pages, payloads
+from tidemark.streaming import ticks
 from tidemark.plans.tables import BETS_SQL, CUTOFF, OBS_SQL, bets, cutoff, observations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,6 +728,60 @@ def lifecycle_moves(spark, d):
     return schedule.moves(s, ["user_id"], ["ts", "event_id"], "st").select("event_id", "before", "allowed")
 
 
+@query("""SELECT date_diff('second', TIMESTAMP '1970-01-01', ts) // 1800 AS slot, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_slots(spark, d):
+    path = f"{d}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = ticks.totals(ticks.slot_counts(e, "ts", "30 minutes", ["event_type"], "1 hour"), "slots")
+    return counts.select(F.floor(F.unix_seconds("slot") / 1800).alias("slot"), "event_type", "n")
+
+
+# ---- sources ----------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, user_id % 3 AS books, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS price FROM events WHERE event_id % 10 = 0 AND user_id % 3 > 0""".replace("user_id % 3 AS books, ", ""))
+def normalise_json(spark, d):
+    """Provider payloads made from events, then flattened again; consensus books go."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    outcome = F.struct(F.lit("Home").alias("name"), k.alias("price"), F.lit(None).cast("double").alias("point"))
+    market = F.struct(F.lit("h2h").alias("key"), F.lit("2024-01-01T00:00:00Z").alias("last_update"), F.array(outcome).alias("outcomes"))
+    book = F.struct(F.when(F.col("user_id") % 3 == 0, "consensus").otherwise("Book").alias("key"), F.lit("b").alias("title"), F.lit("2024-01-01T00:00:00Z").alias("last_update"), F.array(market).alias("markets"))
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"), F.lit("2024-01-01T00:00:00Z").alias("commence_time"), F.array(book).alias("bookmakers")))
+    raw = table(spark, d, "events").where("event_id % 10 = 0").select(body.alias("body"))
+    return payloads.quotes_of(raw, "body").where("outcome_key = 'fighter_a'").select(F.col("id").cast("long").alias("event_id"), "price")
+
+
+@query(None)
+def html_links(spark, d):
+    return pages.links(table(spark, d, "pages"), "page_id", "html")
+
+
+@query(None)
+def html_cells(spark, d):
+    return pages.cells(table(spark, d, "pages"), "page_id", "html")
+
+
+# ---- models ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(None)
+def ridge_folds(spark, d):
+    from tidemark.operators import models
+
+    e = table(spark, d, "embeddings")
+    rows = e.select((F.col("vec_id") % 5).alias("fold"), *[F.get("embedding", k).cast("double").alias(f"x{k}") for k in range(6)], (F.col("label") % 2).alias("y"))
+    return models.fit_ridge_by(rows, "fold", [f"x{k}" for k in range(6)], "y").select("fold", "n", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
+
+
+@query(None)
+def hazard_fit(spark, d):
+    from tidemark.operators import models
+
+    p = table(spark, d, "part").select((F.col("p_partkey") % 2).alias("fold"), (F.col("p_size") / 50.0).alias("x"), (F.col("p_size") % 4).alias("last"))
+    periods = markets.person_periods(p, F.col("last"), F.when(F.col("x") > 0.5, "ko_tko").otherwise("submission"))
+    return models.fit_hazards_by(periods, "fold", ["x", "interval"], "class", ["continue", "ko_tko", "submission"]).select("fold", F.transform("theta", lambda t: F.transform(t, lambda w: F.round(w, 5))).alias("theta"))
+
+
 # ---- strings -------------------------------------------------------------------------------------------------------------------------------
 
 
