@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from compare import rows
+from tidemark.plans import more  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
