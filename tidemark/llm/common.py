@@ -42,8 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and the planner knows its size."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and the planner knows its size.
+
+    The shuffle files of a finished write go at once; else they would stay until the driver collects its garbage.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

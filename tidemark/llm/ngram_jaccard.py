@@ -10,12 +10,15 @@ it:
 
 1. Equal sets are one class. Blocks with one class end here, nearly all of them.
 2. In each block, members pair with the block's centre only (a star), so a group of k near copies costs k pairs, not
-   k * k. Pairs pass the bound by summed minima, then an exact check on the whole texts. Links make components.
-3. Blocks that still hold several components search an R-tree of their points for pairs across components; boxes that
-   lie in one component or fail the bound are left out. Survivors are verified as before and components made again.
-
-So no link between different texts is lost, as a link that the stars missed joins two components of some block. The
-counts that order the tokens are a table of fixed size over all rows.
+   k * k. The centre is the member whose rare tokens are the most common, most likely what the others were copied from.
+   Pairs pass the bound by summed minima, then an exact check on the whole texts. Links make components.
+3. Members of blocks with one centre are a family, so two members of a block are in one. Families that still hold several
+   components search an R-tree of their points for pairs across components; boxes that lie in one component or fail the
+   bound are left out. First each member is checked against the few that come nearest by the bound, as that joins most of
+   what belongs together; then all pairs that are left across components, without any limit.
+
+So no link between different texts is lost, as a link that isn't checked lies within a component. The counts that order
+the tokens are a table of fixed size over all rows.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, UPPER, bound_arrow, materialise
 
-TABLE_BITS = 18
-GROUPS = 64
+TABLE_BITS = 20
+PIECE = 1 << 14
+GROUPS = 256
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MULTIPLIERS = np.array([int(xxhash.xxh3_64_intdigest(b"place", seed=k)) | 1 for k in range(64)], np.uint64)
 
@@ -75,31 +79,48 @@ def needed(percent: int, a: int, b: int) -> int:
 
 
 def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many (document, token) pairs fall to each of 2**TABLE_BITS buckets, over all rows; summed before the shuffle and on it."""
+    """How many (document, token) pairs fall to each of 2**TABLE_BITS buckets, over all rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each partition counts for itself and sends its table in pieces, as packed integers; pieces are summed by number. So
+    a partition sends the same few megabytes whatever its size, and the driver gets one table of fixed size.
+    """
+    names, pieces = ["piece", "counts"], (1 << TABLE_BITS) // PIECE
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total, waiting, held = WordHashes(), np.zeros(1 << TABLE_BITS, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal total
+            if waiting:
+                total += np.bincount((np.concatenate(waiting) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 waiting.append(token_set(text, hashes, width))
                 held += len(waiting[-1])
                 if held > 1 << 20:
-                    total += np.bincount((np.concatenate(waiting) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+                    add()
                     waiting, held = [], 0
-        if waiting:
-            total += np.bincount((np.concatenate(waiting) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+        add()
+        parts = [(k, x.astype("<u4").tobytes()) for k, x in enumerate(total.reshape(pieces, PIECE)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=names)
 
-    sums = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()
-    table = np.zeros(1 << TABLE_BITS, np.int64)
-    table[found["bucket"]] = found["n"]
-    return table
+    schema = "piece int, counts binary"
+    table = np.zeros((pieces, PIECE), np.int64)
+    for row in docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(merge, schema).collect():  # 2**TABLE_BITS numbers
+        table[row.piece] = np.frombuffer(row.counts, np.int64)
+    return table.reshape(-1)
 
 
 def describe(docs: DataFrame, counts: np.ndarray, percent: int, width: int, hot: int) -> DataFrame:
-    """For each row: doc_id, n, cid (hash of the set), point (group counts), keys (the rare end of its tokens) and cool (how many keys aren't hot).
+    """For each row: doc_id, n, cid (hash of the set), point (group counts), keys (the rare end of its tokens), cool (how many keys aren't hot) and rank (low if they are common).
 
     Keys and point are given once for each set and partition, else null.
     """
@@ -108,7 +129,7 @@ def describe(docs: DataFrame, counts: np.ndarray, percent: int, width: int, hot:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, seen = WordHashes(), shared.value, set()
         for batch in batches:
-            ns, cids, keys, points, cools = [], [], [], [], []
+            ns, cids, keys, points, cools, ranks = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = token_set(text, hashes, width)
                 n = len(tokens)
@@ -116,7 +137,7 @@ def describe(docs: DataFrame, counts: np.ndarray, percent: int, width: int, hot:
                 ns.append(n)
                 cids.append(cid)
                 if not n or doc is None or (cid, n) in seen:
-                    keys.append(None), points.append(None), cools.append(0)
+                    keys.append(None), points.append(None), cools.append(0), ranks.append(0)
                     continue
                 seen.add((cid, n))
                 common = table[(tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -124,10 +145,11 @@ def describe(docs: DataFrame, counts: np.ndarray, percent: int, width: int, hot:
                 keys.append(tokens[first].view(np.int64))
                 points.append(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
                 cools.append(int((common[first] <= hot).sum()))
-            columns = [batch.column(0), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(cools, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "point", "keys", "cool"])
+                ranks.append(-int(16 * np.log2(common[first] + 1.0).mean()))
+            columns = [batch.column(0), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(cools, pa.int32()), pa.array(ranks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cid", "point", "keys", "cool", "rank"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, cid bigint, point array<int>, keys array<bigint>, cool int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, cid bigint, point array<int>, keys array<bigint>, cool int, rank int")
 
 
 class CountTree:
@@ -159,8 +181,8 @@ class CountTree:
             parts.append(part[np.argsort(points[part, widest], kind="stable")])
         return np.concatenate(parts)
 
-    def search(self, point: np.ndarray, size: int, component: int, percent: int) -> np.ndarray:
-        """Places of the points of other components that the bound leaves."""
+    def search(self, point: np.ndarray, size: int, component: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the points of other components that the bound leaves, and by how much it could be passed."""
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             begins, upper, low, high, comp, pure = self.levels[depth]
@@ -174,7 +196,7 @@ class CountTree:
         best = np.minimum(self.points[nodes], point).sum(axis=1)
         sizes = self.sizes[nodes]
         keep = (self.components[nodes] != component) & ((100 + percent) * best >= percent * (size + sizes)) & (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes))
-        return self.order[nodes[keep]]
+        return self.order[nodes[keep]], (best / (size + sizes))[keep]
 
 
 def components_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -249,30 +271,25 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _across(blocks: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block: int = 800) -> DataFrame:
-    """Pairs across components within a block that an R-tree search leaves.
+def _across(families: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, nearest: int | None, block: int = 800) -> DataFrame:
+    """Untried pairs across components of a family that an R-tree search leaves; of each member's the `nearest` by the bound, or all.
 
-    Blocks of equal members are searched once. A block's largest component isn't searched from, only the others, in
-    pieces of about `block` members; a piece is bounded, whatever the block's size.
+    A family's largest component isn't searched from, only the others, in pieces of about `block` members; a piece is
+    bounded, whatever the family's size.
     """
-    member = blocks.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "comp"), "cid")
+    member = families.join(labels.select(F.col("node").alias("cid"), "comp"), "cid")
     member = materialise(member, "members")
-    h = F.xxhash64("cid")
-    mixed = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.groupBy("size", "x", "s").agg(F.min("key").alias("key"))
-    mixed = materialise(mixed.select("key", "size"), "mixed")
-    inside = member.join(mixed, "key")
-    main = inside.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
-    inside = inside.join(main.select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("main_size")), "key")
+    sizes = member.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("m"))
+    mixed = sizes.where("size > m.c").select("family", "size", F.col("m.comp").alias("main"), F.col("m.c").alias("main_size"))
+    inside = member.join(mixed, "family")
     tb = F.ceil(F.col("size") / block).cast("int")
     ob = F.ceil((F.col("size") - F.col("main_size")) / block).cast("int")
-    own = F.abs(h)
-    targets = inside.select("key", F.explode(F.sequence(F.lit(0), ob - 1)).alias("i"), F.pmod(own, tb).cast("int").alias("j"), F.lit(False).alias("probe"), "cid", "comp", "main")
-    probes = inside.where("comp <> main").select("key", F.pmod(own, ob).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), tb - 1)).alias("j"), F.lit(True).alias("probe"), "cid", "comp", "main")
+    own = F.xxhash64("cid")
+    targets = inside.select("family", F.explode(F.sequence(F.lit(0), ob - 1)).alias("i"), F.pmod(own, tb).cast("int").alias("j"), F.lit(False).alias("probe"), "cid", "comp", "main")
+    probes = inside.where("comp <> main").select("family", F.pmod(own, ob).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), tb - 1)).alias("j"), F.lit(True).alias("probe"), "cid", "comp", "main")
     rows = targets.unionByName(probes).join(classes.select("cid", "n", "point"), "cid")
-
-    rows = rows.select("key", "i", "j", "probe", "cid", "comp", "main", "n", "point")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("family", "i", "j", "probe", "cid", "comp", "main", "n", "point")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def pairs_of(probe: np.ndarray, cid: np.ndarray, comp: np.ndarray, main: int, n: np.ndarray, point: np.ndarray) -> tuple[list[int], list[int]]:
         a: list[int] = []
@@ -282,14 +299,17 @@ def _across(blocks: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
             codes = np.unique(comp, return_inverse=True)[1]
             tree = CountTree(point[targets], n[targets], codes[targets])
             for p in np.flatnonzero(probe):
-                for t in targets[tree.search(point[p], int(n[p]), int(codes[p]), percent)]:
-                    if comp[t] == main or cid[p] < cid[t]:
+                found, share = tree.search(point[p], int(n[p]), int(codes[p]), percent)
+                if nearest:
+                    found = found[np.argsort(-share, kind="stable")[:nearest]]
+                for t in targets[found]:
+                    if nearest or comp[t] == main or cid[p] < cid[t]:
                         a.append(min(cid[p], cid[t])), b.append(max(cid[p], cid[t]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the piece that the next batch may go on with
-        names = ("key", "i", "j", "probe", "cid", "comp", "main", "n")
+        names = ("family", "i", "j", "probe", "cid", "comp", "main", "n")
 
         def search(arrays: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, int]:
             """Pairs of all pieces but, if more may come, the last, and where that begins."""
@@ -316,7 +336,7 @@ def _across(blocks: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
         if waiting:
             yield search(waiting, True)[0]
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return materialise(rows.mapInArrow(run, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"), "across")
 
 
 def jaccard_components(df: DataFrame, percent: int = 75, width: int = 5, hot: int = 20_000, salts: int = 64) -> DataFrame:
@@ -336,34 +356,40 @@ def jaccard_components(df: DataFrame, percent: int = 75, width: int = 5, hot: in
     known = described.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("point").isNotNull(), F.col("doc_id"))).alias("shown"))
 
-    placed = known.where("keys IS NOT NULL").select(F.posexplode("keys").alias("pos", "key"), "cid", "n", "cool")
+    # meta: rank, size and whether the key is within the shorter set's end, in one number that sorts by rank
     core = F.expr(f"pos <= n - (2 * {percent} * bigint(n) + {99 + percent}) div {100 + percent}")
-    placed = placed.select("key", F.when(F.col("pos") < F.col("cool"), F.lit(0)).otherwise(1 + F.pmod(F.hash("cid"), F.lit(salts))).cast("int").alias("salt"), "cid", "n", core.alias("core"))
-    window = Window.partitionBy("key", "salt")
-    least = F.min(F.struct("cid", "n", "core")).over(window)
-    blocks = placed.withColumns({"centre": least, "far": F.max("cid").over(window)}).where("salt > 0 OR centre.cid <> far").drop("far")
-    blocks = materialise(blocks, "blocks")
-    top = blocks.where("salt > 0 AND cid = centre.cid").select("key", "cid", "n", "core").distinct()
-    top = top.withColumn("centre", F.min(F.struct("cid", "n", "core")).over(Window.partitionBy("key")))
-    stars = blocks.select("cid", "n", "core", "centre").unionByName(top.select("cid", "n", "core", "centre"))
-    c = F.col("centre")
-    fits = (F.col("cid") != c["cid"]) & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
-    fits &= (F.col("core") & (F.col("n") <= c["n"])) | (c["core"] & (c["n"] <= F.col("n")))
-    pairs = materialise(stars.where(fits).select(c["cid"].alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-
-    named = blocks.select("cid").distinct()
-    shown = known.where("point IS NOT NULL").select(F.col("cid"), "doc_id", "n", "point")
-    classes = reps.join(named, "cid", "left_semi").join(shown.withColumnRenamed("doc_id", "shown"), ["cid", "shown"]).select("cid", "doc_id", "n", "point").dropDuplicates(["cid"])
+    meta = F.shiftleft(F.col("rank").cast("long") + 4096, 33) + F.shiftleft(F.col("n").cast("long"), 1) + core.cast("long")
+    placed = known.where("keys IS NOT NULL").select(F.posexplode("keys").alias("pos", "key"), "cid", "n", "cool", "rank").select("key", "cid", meta.alias("meta"), (F.col("pos") >= F.col("cool")).alias("hot"))
+    least = F.min(F.struct("meta", "cid"))
+    by_key = Window.partitionBy("key")
+    cool = placed.where("NOT hot").select("key", "cid", "meta").withColumns({"centre": least.over(by_key), "lo": F.min("cid").over(by_key), "hi": F.max("cid").over(by_key)}).where("lo <> hi")
+    warm = placed.where("hot").select("key", "cid", "meta", F.pmod(F.hash("cid"), F.lit(salts)).alias("salt"))
+    in_salt = warm.withColumn("centre", least.over(Window.partitionBy("key", "salt")))
+    tops = warm.groupBy("key", "salt").agg(least.alias("c")).groupBy("key").agg(F.min("c").alias("centre"))
+    stars = cool.select("cid", "meta", "centre").unionByName(in_salt.select("cid", "meta", "centre")).unionByName(warm.join(tops, "key").select("cid", "meta", "centre"))
+    size = lambda m: F.shiftright(m, 1).bitwiseAND(F.lit((1 << 32) - 1))
+    c, mine, its = F.col("centre"), size(F.col("meta")), size(F.col("centre")["meta"])
+    is_core = lambda m: m.bitwiseAND(F.lit(1)) == 1
+    fits = (F.col("cid") != c["cid"]) & (100 * F.least(mine, its) >= percent * F.greatest(mine, its))
+    fits &= (is_core(F.col("meta")) & (mine <= its)) | (is_core(c["meta"]) & (its <= mine))
+    families = stars.groupBy(c["cid"].alias("family"), "cid").agg(F.bool_or(fits).alias("fits"))
+    families = materialise(families, "families")
+
+    named = families.select("cid").distinct()
+    shown = known.where("point IS NOT NULL").join(named, "cid", "left_semi").select("cid", F.col("doc_id").alias("shown"), "n", "point")
+    classes = reps.join(named, "cid", "left_semi").join(shown, ["cid", "shown"]).select("cid", "doc_id", "n", "point").dropDuplicates(["cid"])
     classes = materialise(classes, "classes")
-    tried = materialise(_bounded(pairs, classes, percent), "tried")
-    links = _verified(tried, classes, docs, percent, width)
     nodes = classes.select(F.col("cid").alias("node"))
+    pairs = families.where("fits").select(F.col("family").alias("a"), F.col("cid").alias("b"))
+    tried = families.where("fits").select(F.least("family", "cid").alias("a"), F.greatest("family", "cid").alias("b"))
+    links = _verified(materialise(_bounded(pairs, classes, percent), "bounded"), classes, docs, percent, width)
     labels = materialise(components_of(nodes, links), "components")
-
-    more = _across(blocks, labels, classes, percent)
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(more.join(done, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
+    families = families.select("family", "cid")
+    for nearest in (3, None):
+        more = _across(families, labels, classes, tried, percent, nearest)
+        if more.isEmpty():
+            break
+        tried = tried.unionByName(more)
         links = links.unionByName(_verified(more, classes, docs, percent, width))
         labels = materialise(components_of(nodes, links), "components")
 
