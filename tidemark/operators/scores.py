@@ -48,7 +48,7 @@ def skill(rows: DataFrame, y: str, p: str, baselines: Mapping[str, Column]) -> D
 
 def breakdowns(rows: DataFrame, dimensions: Mapping[str, Column], aggregates: Mapping[str, Column]) -> DataFrame:
     """The same aggregates by every dimension; a dimension gives an array, as a row may lie in several of its universes."""
-    cells = F.flatten(F.array(*[F.transform(v, lambda x, k=None: x) if False else F.transform(v, _pair(k)) for k, v in dimensions.items()]))
+    cells = F.flatten(F.array(*[F.transform(v, _pair(k)) for k, v in dimensions.items()]))
     long = rows.withColumn("__cells", cells).select("*", F.inline("__cells")).drop("__cells")
     return long.groupBy("dimension", "universe").agg(*[v.alias(k) for k, v in aggregates.items()])
 

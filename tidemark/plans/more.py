@@ -37,14 +37,14 @@ def states_as_of(spark, d):
     return out.select("q", r("state", 4).alias("state"))
 
 
-@query("""WITH e AS (SELECT event_id AS event, user_id AS u, user_id + 1 AS v, ts AS at_t FROM events WHERE event_id % 3 = 0), b AS (SELECT event_id AS bout, user_id + 1 AS u, user_id AS v, ts AS at_t FROM events WHERE event_id % 3 = 1),
+@query("""WITH e AS (SELECT event_id AS event, user_id AS u, user_id + 1 AS v, ts AS at_t FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id AS bout, user_id + 1 AS u, user_id AS v, ts AS at_t FROM events WHERE event_id % 2 = 1),
   h AS (SELECT event, count(*) AS n, min(bout) AS one FROM e JOIN b ON e.u = b.v AND e.v = b.u AND abs(date_diff('microsecond', e.at_t, b.at_t)) // 1000000 <= 1800 GROUP BY 1)
   SELECT event, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN n = 1 THEN one END AS bout, coalesce(n, 0) AS candidates FROM (SELECT event FROM e) LEFT JOIN h USING (event)""")
 def event_matching(spark, d):
     e = table(spark, d, "events")
     u, v = F.col("user_id").cast("string"), (F.col("user_id") + 1).cast("string")
-    events = e.where("event_id % 3 = 0").select(F.col("event_id").alias("event"), F.concat(F.lit(" P"), u).alias("left"), F.concat(F.lit("p"), v).alias("right"), F.col("ts").alias("at"))
-    bouts = e.where("event_id % 3 = 1").select(F.col("event_id").alias("bout"), F.concat(F.lit("p"), v).alias("left"), F.concat(F.lit("P"), u).alias("right"), F.col("ts").alias("at"))
+    events = e.where("event_id % 2 = 0").select(F.col("event_id").alias("event"), F.concat(F.lit(" P"), u).alias("left"), F.concat(F.lit("p"), v).alias("right"), F.col("ts").alias("at"))
+    bouts = e.where("event_id % 2 = 1").select(F.col("event_id").alias("bout"), F.concat(F.lit("p"), v).alias("left"), F.concat(F.lit("P"), u).alias("right"), F.col("ts").alias("at"))
     return eligibility.match_events(events, bouts)
 
 
@@ -53,13 +53,13 @@ def latest_publication(spark, d):
     return eligibility.latest(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey")
 
 
-@query("""WITH x AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'line_change' WHEN 'error' THEN 'stale_line' WHEN 'view' THEN 'card_change' ELSE 'other' END AS kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_id % 7 = 0)
+@query("""WITH x AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'line_change' WHEN 'error' THEN 'stale_line' WHEN 'view' THEN 'card_change' ELSE 'other' END AS kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
   SELECT user_id, arg_max(CASE WHEN kind IN ('line_change', 'stale_line') THEN k - 1 END, {'a': ts, 'b': event_id}) FILTER (WHERE kind IN ('line_change', 'stale_line')) AS movement,
   CASE WHEN bool_or(kind = 'stale_line') THEN 'stale' WHEN bool_or(kind = 'line_change') THEN 'fresh' ELSE 'unknown' END AS freshness, CAST(sum(CASE WHEN kind = 'card_change' THEN 1 ELSE 0 END) AS BIGINT) AS card_changes FROM x GROUP BY user_id""")
 def line_movements(spark, d):
     t = F.col("event_type")
     kind = F.when(t == "click", "line_change").when(t == "error", "stale_line").when(t == "view", "card_change").otherwise("other")
-    e = table(spark, d, "events").where("event_id % 7 = 0").select("user_id", "ts", "event_id", kind.alias("kind"), F.to_json(F.struct(F.get_json_object("props", "$.k").cast("double").alias("new_decimal"), F.lit(1.0).alias("old_decimal"))).alias("payload"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.to_json(F.struct(F.get_json_object("props", "$.k").cast("double").alias("new_decimal"), F.lit(1.0).alias("old_decimal"))).alias("payload"))
     return eligibility.line_movement(e, "user_id", "ts", "event_id", "kind", "payload")
 
 
@@ -155,10 +155,11 @@ def bootstrap_refits(spark, d):
     return resample.interval(fits.select(F.round(F.get("weights", 0), 6).alias("value")))
 
 
-@query("""SELECT count(*) AS violations FROM (SELECT month(o_orderdate) AS card, o_orderdate AS seen FROM orders) t, (SELECT 6 AS c, TIMESTAMP '1998-06-01' AS cut) x WHERE year(seen) = 1998 AND card < 6 AND (card = c OR seen > cut)""")
+@query("""SELECT count(*) AS violations FROM orders WHERE month(o_orderdate) = 6 OR o_orderdate > TIMESTAMP '2000-01-01'""")
 def leakage_gate(spark, d):
-    train = table(spark, d, "orders").where("year(o_orderdate) = 1998 AND month(o_orderdate) < 6").select(F.month("o_orderdate").alias("card"), F.col("o_orderdate").alias("seen"), F.lit(0).alias("fold"))
-    test = spark.range(1).select(F.lit(6).alias("card"), F.lit("1998-06-01").cast("timestamp_ntz").alias("cut"), F.lit(0).alias("fold"))
+    """How many rows may not train the fold of card 6, whose cutoff is the year 2000."""
+    train = table(spark, d, "orders").select(F.month("o_orderdate").alias("card"), F.col("o_orderdate").alias("seen"), F.lit(0).alias("fold"))
+    test = spark.range(1).select(F.lit(6).alias("card"), F.lit("2000-01-01").cast("timestamp_ntz").alias("cut"), F.lit(0).alias("fold"))
     return resample.leaks(train, test, "card", "seen", "cut").agg(F.count("*").alias("violations"))
 
 

@@ -83,7 +83,6 @@ def visibility_clocks(spark, d):
   SELECT event_id, closing_event_id, closing_value FROM j WHERE rn = 1""")
 def closing_forward_asof(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
-    e = e.withColumn("ts", F.col("ts"))
     return asof.closing_forward(e, ["user_id", "event_type"], "ts", "event_id", ["value"], 86400).where("closing_event_id IS NOT NULL").select("event_id", "closing_event_id", "closing_value")
 
 
@@ -109,15 +108,14 @@ def alias_interval_join(spark, d):
     return asof.as_of_join(asked, right, ["user_id"], "at", "ts", ["version", "alias_event"], "alias_event").where("version IS NOT NULL").select("asked", "version", "alias_event")
 
 
-@query("""WITH q AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders), scopes AS (
-    SELECT o_orderkey AS sid, o_orderstatus AS s, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS p, o_totalprice AS v FROM orders WHERE o_orderkey % 500 = 0 OR o_orderkey % 501 = 0),
+@query("""WITH q AS (SELECT o_orderkey AS id, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p FROM orders), scopes AS (
+    SELECT s_suppkey AS sid, ['F', 'O', 'P'][s_nationkey % 3 + 1] AS s, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE CAST(s_suppkey % 5 + 1 AS VARCHAR) END AS p, s_acctbal AS v FROM supplier),
   j AS (SELECT id, sid, v, row_number() OVER (PARTITION BY id ORDER BY v DESC NULLS LAST, sid DESC NULLS LAST) rn FROM q LEFT JOIN scopes c ON q.s = c.s AND (c.p IS NULL OR c.p = q.p))
   SELECT id, sid, v FROM j WHERE rn = 1""")
 def wildcard_scope_join(spark, d):
-    o = table(spark, d, "orders")
-    q = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    some = o.where("o_orderkey % 500 = 0 OR o_orderkey % 501 = 0")
-    scopes = some.select(F.col("o_orderkey").alias("sid"), F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderkey") % 2 != 0, F.col("o_orderpriority")).alias("p"), F.col("o_totalprice").alias("v"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    state = F.get(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("s_nationkey") % 3)
+    scopes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"), state.alias("s"), F.when(F.col("s_suppkey") % 2 != 0, (F.col("s_suppkey") % 5 + 1).cast("string")).alias("p"), F.col("s_acctbal").alias("v"))
     return asof.scope_match(q, scopes, ["s"], ["p"], ["v", "sid"], ["sid", "v"]).select("id", "sid", "v")
 
 
@@ -522,13 +520,15 @@ def atom_universe(spark, d):
     return markets.atoms(spark, 3).select("atom")
 
 
-@query("""WITH f AS (SELECT p_partkey AS k, s, c, i, 1.0 AS w FROM part, range(6) t(i), (VALUES ('a'), ('b')) x(s), (VALUES ('ko_tko'), ('submission'), ('other_stoppage')) y(c) WHERE p_partkey <= 50 UNION ALL SELECT p_partkey, s, 'decision', NULL, 4.0 FROM part, (VALUES ('a'), ('b'), (NULL)) x(s) WHERE p_partkey <= 50),
+@query("""WITH f AS (SELECT p_partkey AS k, s, c, i, 1.0 AS w FROM part, range(6) t(i), (VALUES ('a'), ('b')) x(s), (VALUES ('ko_tko'), ('submission'), ('other_stoppage')) y(c) UNION ALL SELECT p_partkey, s, 'decision', NULL, 4.0 FROM part, (VALUES ('a'), ('b'), (NULL)) x(s)),
   l AS (SELECT k, w, unnest([{'f': 'moneyline', 'o': CASE WHEN s IS NULL THEN 'draw' ELSE 'fighter_' || s END}, {'f': 'goes_distance', 'o': CASE WHEN i IS NULL THEN 'goes_distance' ELSE 'inside_distance' END}, {'f': 'method', 'o': CASE WHEN s IS NULL THEN 'draw' ELSE c END},
     {'f': 'fighter_by_method', 'o': CASE WHEN s IS NULL THEN 'draw' ELSE s || '_' || c END}, {'f': 'exact_round', 'o': CASE WHEN i IS NULL THEN 'distance' ELSE 'round_' || CAST(i // 2 + 1 AS BIGINT) END}, {'f': 'totals_1.5', 'o': CASE WHEN i <= 2 THEN 'under' ELSE 'over' END}, {'f': 'totals_2.5', 'o': CASE WHEN i <= 4 THEN 'under' ELSE 'over' END}]) AS x FROM f)
   SELECT k, x.f AS family, x.o AS outcome, round(sum(w) / 48, 9) AS probability FROM l GROUP BY ALL""")
 def derived_markets(spark, d):
     atoms = markets.atoms(spark, 3).withColumn("p", F.when(F.col("cause") == "decision", 4.0).otherwise(1.0) / 48)
-    fine = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("k")).join(F.broadcast(atoms), F.lit(True))  # 39 atoms
+    one = atoms.groupBy().agg(F.collect_list(F.struct("side", "cause", "interval", "p")).alias("a")).first().a  # 39 atoms
+    literal = F.array(*[F.struct(F.lit(x.side).cast("string").alias("side"), F.lit(x.cause).alias("cause"), F.lit(x.interval).cast("int").alias("interval"), F.lit(x.p).alias("p")) for x in one])
+    fine = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.inline(literal))
     return markets.derive(fine, ["k"]).select("k", "family", "outcome", r("probability", 9).alias("probability"))
 
 
@@ -739,7 +739,7 @@ def stream_slots(spark, d):
 # ---- sources ----------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, user_id % 3 AS books, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS price FROM events WHERE event_id % 10 = 0 AND user_id % 3 > 0""".replace("user_id % 3 AS books, ", ""))
+@query("""SELECT event_id, user_id % 3 AS books, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS price FROM events WHERE user_id % 3 > 0""".replace("user_id % 3 AS books, ", ""))
 def normalise_json(spark, d):
     """Provider payloads made from events, then flattened again; consensus books go."""
     k = F.get_json_object("props", "$.k").cast("double")
@@ -747,7 +747,7 @@ def normalise_json(spark, d):
     market = F.struct(F.lit("h2h").alias("key"), F.lit("2024-01-01T00:00:00Z").alias("last_update"), F.array(outcome).alias("outcomes"))
     book = F.struct(F.when(F.col("user_id") % 3 == 0, "consensus").otherwise("Book").alias("key"), F.lit("b").alias("title"), F.lit("2024-01-01T00:00:00Z").alias("last_update"), F.array(market).alias("markets"))
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"), F.lit("2024-01-01T00:00:00Z").alias("commence_time"), F.array(book).alias("bookmakers")))
-    raw = table(spark, d, "events").where("event_id % 10 = 0").select(body.alias("body"))
+    raw = table(spark, d, "events").select(body.alias("body"))
     return payloads.quotes_of(raw, "body").where("outcome_key = 'fighter_a'").select(F.col("id").cast("long").alias("event_id"), "price")
 
 
