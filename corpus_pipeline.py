@@ -14,7 +14,7 @@ from tidemark.llm.queries import TEST_KEY, tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or their host's verdict, don't reject."""
-    return host_rules.judge_documents(docs).where("kept").select(*docs.columns)
+    return host_rules.keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,46 +16,42 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 SYMBOLS = "#*$%&|<>"
 
 
-def _repeat_words(words: Column, windows: Column) -> tuple[Column, Column]:
-    """Windows that occur twice or more, from windows sorted by (text, place); and how many words they cover."""
-    last = F.size(windows) - 1
-    same = lambda x, k: F.get(windows, k)["g"] == x["g"]
-    twice = F.filter(windows, lambda x, i: ((i > 0) & same(x, i - 1)) | ((i < last) & same(x, i + 1)))
-    return F.array_sort(F.transform(twice, lambda x: x["i"])), last
+def _let(value: Column, use) -> Column:
+    """use(value), the value being made once, also where the planner copies the expression into a filter."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every whole text; a null text has none of anything.
+def _covered(grams: Column) -> Column:
+    """How many words lie in windows that occur twice or more; grams are sorted structs (g, i) of hashed windows."""
+    last = F.size(grams) - 1
+    same = lambda x, k: F.get(grams, k)["g"] == x["g"]
+    twice = F.filter(grams, lambda x, i: ((i > 0) & same(x, i - 1)) | ((i < last) & same(x, i + 1)))
+    gaps = lambda p: F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
+    return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, x: a + x))
 
-    n_repeat_words counts the words that lie in any 3-word window which the text has twice or more, the first included.
+
+def metrics(text: str | Column = "text") -> Column:
+    """A struct of METRICS of a whole text; a null text has none of anything.
+
+    n_repeat_words counts the words that lie in any 3-word window which the text has twice or more, the first included;
+    windows are compared by 64-bit hashes.
     """
     t = text_of(text)
-    out = df.withColumns({"__w": words_of(t), "__lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))})
-    w = F.col("__w")
-    grams = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
-    out = out.withColumn("__g", F.sort_array(grams))
-    out = out.withColumn("__p", _repeat_words(w, F.col("__g"))[0])
-    p = F.col("__p")
-    gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
-    as_long = lambda c: c.cast("long")
-    return out.withColumns(
-        {
-            "n_words": as_long(F.size(w)),
-            "word_chars": as_long(F.length(F.regexp_replace(t, f"[{SPACES}]+", ""))),
-            "n_symbols": as_long(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
-            "n_dup_lines": as_long(F.size("__lines") - F.size(F.array_distinct("__lines"))),
-            "n_repeat_words": as_long(F.aggregate(gaps, F.lit(0), lambda a, x: a + x)),
-        }
-    ).drop("__w", "__lines", "__g", "__p")
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def doubtful() -> Column:
+    grams = lambda w: F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
+    words = _let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _let(grams(w), _covered).cast("long").alias("r")))
+    dup = _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    chars = F.length(F.regexp_replace(t, f"[{SPACES}]+", "")).cast("long")
+    symbols = (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
+    return _let(words, lambda w: F.struct(w["n"].alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), w["r"].alias("n_repeat_words")))
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def doubtful(m: Column) -> Column:
     """Not enough to reject a document, but enough to believe a bad host: one symbol to three words, or a third of repeats."""
-    return (3 * F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_repeat_words") > F.col("n_words"))
+    return (3 * m["n_symbols"] > m["n_words"]) | (3 * m["n_repeat_words"] > m["n_words"])
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
@@ -82,18 +78,35 @@ def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float =
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", (F.col("documents") >= min_documents) & (F.col("shrunk_rate") >= reject_rate))
 
 
-def judge_documents(df: DataFrame, host: str = "source", text: str = "text", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
-    """Adds the metrics, base_failed, host_rejected and kept to every row of df.
+def _rejected(counted: DataFrame, host: str, reject_rate: float, min_documents: int) -> DataFrame:
+    bad = host_verdicts(counted, host, reject_rate, min_documents).where("host_rejected").select("__host")
+    return materialise(bad, "hosts-rejected").withColumn("host_rejected", F.lit(True))
+
+
+def _with_verdict(df: DataFrame, bad: DataFrame, host: str) -> DataFrame:
+    """Hosts that aren't rejected need no row in the join; the planner broadcasts the rejected ones if their measured size allows, else splits hot hosts."""
+    joined = df.drop("host_rejected").join(bad, df[host].eqNullSafe(bad["__host"]), "left").drop("__host")
+    return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+
+
+def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
+    """The columns `keep`, the metrics, base_failed, host_rejected and kept, a row for each row of df.
 
     kept is false where the base rules fail, and where the host is rejected and the document is doubtful. Null texts
-    have no words, so they fail; repeated rows are judged alike; an empty table stays empty; other columns pass through,
-    and columns with the names of the results are replaced. Hosts that aren't rejected need no row in the join, so the
-    right side holds rejected hosts only; the planner broadcasts it if its measured size allows, else splits hot hosts.
+    have no words, so they fail; a null host is a host of its own; repeated rows are judged alike; an empty table stays
+    empty; columns that aren't kept don't matter. Texts are read once: their metrics are written before hosts are counted.
     """
-    out = with_metrics(df, text).withColumn("base_failed", base_failed())
-    light = out.select(F.col(host).alias(host), "base_failed")
-    bad = host_verdicts(light, host, reject_rate, min_documents).where("host_rejected").select("__host")
-    bad = materialise(bad, "hosts-rejected").withColumn("host_rejected", F.lit(True))
-    joined = out.drop("host_rejected", "kept").join(bad, out[host].eqNullSafe(bad["__host"]), "left").drop("__host")
-    joined = joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & doubtful()))
+    own = df.select(*keep, F.col(host).alias("__source"), metrics(text).alias("__m"))
+    own = own.select(*keep, "__source", "__m.*")
+    row = F.struct(*METRICS)
+    own = materialise(own.withColumns({"base_failed": base_failed(row), "__doubt": doubtful(row)}), "metrics")
+    out = _with_verdict(own, _rejected(own, "__source", reject_rate, min_documents), "__source")
+    return out.select(*keep, *METRICS, "base_failed", "host_rejected", (~F.col("base_failed") & ~(F.col("host_rejected") & F.col("__doubt"))).alias("kept"))
+
+
+def keep_documents(df: DataFrame, host: str = "source", text: str = "text", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
+    """The rows of df that judge_documents keeps, whole. Texts are judged twice, for the hosts and for themselves, as that costs less than to write or shuffle them."""
+    bad = _rejected(df.select(F.col(host).alias("__source"), _let(metrics(text), base_failed).alias("base_failed")), "__source", reject_rate, min_documents)
+    state = _let(metrics(text), lambda m: F.when(base_failed(m), 2).when(doubtful(m), 1).otherwise(0))
+    judged = df.withColumn("__state", state).where("__state < 2")
+    return _with_verdict(judged.withColumn("__source", F.col(host)), bad, "__source").where("NOT host_rejected OR __state = 0").select(*df.columns)

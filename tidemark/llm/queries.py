@@ -112,8 +112,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return judged.select("doc_id", *host_rules.METRICS, "base_failed", "host_rejected", "kept")
+    return host_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""
