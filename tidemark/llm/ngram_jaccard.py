@@ -14,7 +14,7 @@ it:
    Pairs pass the bound by summed minima, then an exact check on the whole texts. Links make components.
 3. Members of blocks with one centre are a family, so two members of a block are in one. Families that still hold several
    components search an R-tree of their points for pairs across components; boxes that lie in one component or fail the
-   bound are left out. First each member is checked against the few that come nearest by the bound, as that joins most of
+   bound are left out. First each member is checked against the one that comes nearest by the bound, as that joins most of
    what belongs together; then all pairs that are left across components, without any limit.
 
 So no link between different texts is lost, as a link that isn't checked lies within a component. The counts that order
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, UPPER, bound_arrow, materialise
 
-TABLE_BITS = 20
+TABLE_BITS = 22
 PIECE = 1 << 14
 GROUPS = 256
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -70,7 +70,10 @@ def token_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
     total = np.full(runs, np.uint64(wide))
     for k in range(wide):
         total += h[k : k + runs] * _MULTIPLIERS[k]
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    new = np.ones(runs, bool)
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
 
 
 def needed(percent: int, a: int, b: int) -> int:
@@ -102,20 +105,20 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
                     add()
                     waiting, held = [], 0
         add()
-        parts = [(k, x.astype("<u4").tobytes()) for k, x in enumerate(total.reshape(pieces, PIECE)) if x.any()]
+        parts = [(k, x.astype(np.min_scalar_type(int(x.max()))).tobytes()) for k, x in enumerate(total.reshape(pieces, PIECE)) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, f"<u{len(x) // PIECE}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=names)
 
     schema = "piece int, counts binary"
-    table = np.zeros((pieces, PIECE), np.int64)
+    table = np.zeros((pieces, PIECE), np.uint32)
     for row in docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(merge, schema).collect():  # 2**TABLE_BITS numbers
-        table[row.piece] = np.frombuffer(row.counts, np.int64)
+        table[row.piece] = np.minimum(np.frombuffer(row.counts, np.int64), 2**32 - 1)  # only the order matters
     return table.reshape(-1)
 
 
@@ -385,7 +388,7 @@ def jaccard_components(df: DataFrame, percent: int = 75, width: int = 5, hot: in
     links = _verified(materialise(_bounded(pairs, classes, percent), "bounded"), classes, docs, percent, width)
     labels = materialise(components_of(nodes, links), "components")
     families = families.select("family", "cid")
-    for nearest in (3, None):
+    for nearest in (1, None):
         more = _across(families, labels, classes, tried, percent, nearest)
         if more.isEmpty():
             break
