@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -371,6 +372,21 @@ def test_leaks(spark, edges, none):
     assert spaced_seeds.find_leaks(none, bench).count() == 0 and spaced_seeds.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_wherever_words_are_changed(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (2, 4, 5, 6, 9, 10, 11, 12, 15, 16, 18, 20)}
+    docs, want = [], {}
+    for n, w in items.items():
+        most = next(m for m in range(n, -1, -1) if n - m >= 0.8 * n)
+        for m in (most, most + 1):
+            for places in itertools.combinations(range(n), m) if m == most else [tuple(range(m))]:
+                docs.append((len(docs), " ".join(["before", *("changed" if k in places else x for k, x in enumerate(w)), "after"])))
+                if m == most:
+                    want[docs[-1][0], n] = (n - m, n)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = spaced_seeds.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert len(want) > 6000 and {(r.doc_id, r.item_id): (r.matched, r.compared) for r in got} == want
+
+
 def test_planted_passages_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()

@@ -1,9 +1,9 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that no allowed substitutions can all break.
 
-A seed mask looks at some places of a window of words and ignores the others, so a window with substitutions at ignored
-places keeps its hash. Hashes of all windows of all documents meet those of the benchmark; each hit fixes how a document
-and an item lie against each other, and around it the whole words are compared, so that a passage counts although some
-words were changed. All of it is DataFrame expressions.
+A window of which a share must agree can hold so many changed words at most; however they lie, between two of them some
+run of unchanged words is left that has a least length. So runs of that length are the seeds: those of all documents
+meet those of the benchmark; each hit fixes how a document and an item lie against each other, and around it the whole
+words are compared, so that a passage counts although some words were changed. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, text_of
 
-#: Looked at (1) and ignored (0) places of each seed.
-MASKS = ("11011011011", "11100111001")
+
+def sure_run(n: int, window: int, share: float) -> int:
+    """The longest run of equal words that is in every window, of an item of n words, that agrees in `share` of its places."""
+    wide = min(n, window)
+    least = next(k for k in range(wide + 1) if k >= share * wide)
+    return -(-least // (wide - least + 1))
 
 
 def words_of_text(text: Column) -> Column:
@@ -24,33 +28,34 @@ def words_of_text(text: Column) -> Column:
     return F.filter(F.split(F.lower(text_of(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds_of(words: Column, masks: Sequence[str]) -> Column:
-    """Array of (pos, seed) of every window of every mask."""
+def seeds_of(words: Column, runs: Sequence[int]) -> Column:
+    """Array of (pos, seed) of every run of each of these lengths."""
 
-    def of_mask(mask: str) -> Column:
-        looked = [k for k, c in enumerate(mask) if c == "1"]
-        places = F.when(F.size(words) >= len(mask), F.sequence(F.lit(0), F.size(words) - len(mask))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in looked]).alias("seed")))
+    def of_run(run: int) -> Column:
+        places = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - run)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(run), *[F.get(words, i + k) for k in range(run)]).alias("seed")))
 
-    return F.concat(*map(of_mask, masks))
+    return F.concat(*map(of_run, runs))
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", masks: Sequence[str] = MASKS, window: int = 20, share: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 20, share: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, matched, compared): pairs of which some `window` words in a row (all of a shorter item) agree in `share` of the places.
 
-    matched and compared are those of the best such stretch. Items shorter than the masks are looked for whole, by a
-    mask of their own length without ignored places. Null and empty texts hold nothing and leak nothing; rows with a
+    matched and compared are those of the best such stretch. No such pair is lost, wherever the changed words lie. Share
+    is over 0 and at most 1. Null and empty texts hold nothing and leak nothing; rows with a
     null id are left out; repeated rows and ties give one pair, with the largest matched; empty tables give no pairs;
     other columns don't matter. The benchmark's seeds are broadcast only after they were counted and are at most
     `broadcast_seeds` (16 bytes each); beyond, they are joined by a shuffle. Documents are verified in a second pass
     that only those with hits enter.
     """
-    span = max(map(len, masks))
+    if not 0 < share <= 1:
+        raise ValueError("share must be over 0 and at most 1")
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of_text(F.col(text)).alias("iw")).where(F.size("iw") > 0)
     items = materialise(items, "items")
-    short = sorted(r.n for r in items.where(F.size("iw") < span).select(F.size("iw").alias("n")).distinct().collect())  # fewer than span values
-    parts = [items.where(F.size("iw") >= span).select("item", F.size("iw").alias("len"), F.inline(seeds_of(F.col("iw"), masks)))]
-    parts += [items.where(F.size("iw") == n).select("item", F.size("iw").alias("len"), F.inline(seeds_of(F.col("iw"), ["1" * n]))) for n in short]
+    wide = F.least(F.lit(window), F.size("iw"))
+    widths = [r.n for r in items.select(wide.alias("n")).distinct().collect()]  # at most `window` values
+    runs = sorted({sure_run(n, window, share) for n in widths} or {1})
+    parts = [items.where(wide.isin([n for n in widths if sure_run(n, window, share) == run])).select("item", F.size("iw").alias("len"), F.inline(seeds_of(F.col("iw"), [run]))) for run in runs]
     seeds = parts[0]
     for part in parts[1:]:
         seeds = seeds.unionByName(part)
@@ -58,8 +63,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     small = seeds.count() <= broadcast_seeds
 
     docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("__text"))
-    all_masks = [*masks, *("1" * n for n in short)]
-    windows = docs.select("doc", words_of_text(F.col("__text")).alias("w")).select("doc", F.inline(seeds_of(F.col("w"), all_masks)))
+    windows = docs.select("doc", words_of_text(F.col("__text")).alias("w")).select("doc", F.inline(seeds_of(F.col("w"), runs)))
     hits = windows.join(F.broadcast(seeds) if small else seeds, "seed").select("doc", "item", "len", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     hits = materialise(hits.groupBy("doc").agg(F.collect_set(F.struct("item", "len", "diagonal")).alias("hits")), "hits")
 
@@ -68,7 +72,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     lie = F.transform("hits", lambda h: F.struct(h["item"].alias("item"), (first(h) - h["diagonal"]).alias("skip"), F.slice(F.col("w"), first(h) + 1, F.least(h["len"], h["len"] + h["diagonal"])).alias("dw")))
     laid = held.select("doc", F.inline(lie)).join(items, "item")
     same = F.zip_with("dw", F.slice("iw", F.col("skip") + 1, F.size("dw")), lambda a, b: a.eqNullSafe(b).cast("int"))
-    laid = laid.select("doc", "item", same.alias("e"), F.least(F.lit(window), F.size("iw")).alias("wide"))
+    laid = laid.select("doc", "item", same.alias("e"), wide.alias("wide"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     starts = F.when(F.size("e") >= F.col("wide"), F.sequence(F.lit(1), F.size("e") - F.col("wide") + 1)).otherwise(F.array().cast("array<int>"))
     best = F.coalesce(F.array_max(F.transform(starts, lambda k: total(F.slice(F.col("e"), k, F.col("wide"))))), F.lit(0))
