@@ -208,6 +208,18 @@ def test_jaccard_components(spark, seed):
     assert got == brute_components(docs)
 
 
+def test_jaccard_links_behind_a_refused_centre(spark):
+    """Two texts link only with each other, but the centre, tried and refused, is nearer to both by the bound."""
+    words = lambda tag, n: [f"{tag}7x{k}" for k in range(n)]
+    shared, tail = words("s", 604), words("c", 102)
+    texts = [shared + words("a", 99), shared + words("b", 99), shared + tail, tail, tail, tail, tail]
+    docs = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    want = brute_components(docs)
+    assert want[1][1] == 0 and want[2][1] == 2
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_jaccard_edges(edges, none):
     got = sorted((tuple(r) for r in ngram_jaccard.jaccard_components(edges).collect()), key=str)
     assert [r for r in got if r[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]

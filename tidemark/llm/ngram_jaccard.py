@@ -391,7 +391,7 @@ def jaccard_components(df: DataFrame, percent: int = 75, width: int = 5, hot: in
     for nearest in (1, None):
         more = _across(families, labels, classes, tried, percent, nearest)
         if more.isEmpty():
-            break
+            continue  # each nearest may have been tried, yet others not
         tried = tried.unionByName(more)
         links = links.unionByName(_verified(more, classes, docs, percent, width))
         labels = materialise(components_of(nodes, links), "components")
