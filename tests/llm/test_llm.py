@@ -288,6 +288,15 @@ def test_pseudonym_edges(edges, none):
     assert pii_feistel.pseudonymise(none, "k").count() == 0
 
 
+def test_card_beside_other_digits(spark):
+    cards = ["4111111111111111 12/27", "4111 1111 1111 1111 99", "12 4111111111111111", "378282246310005 42 x", "3782 822463 10005 42", "4111-1111-1111-1111"]
+    got = pii_feistel.pseudonymise(spark.createDataFrame([(x,) for x in [*cards, "4111111111111112 12/27"]], "text string"), "key").collect()
+    assert got[-1].text == "4111111111111112 12/27" and got[-1].pii_kinds == []
+    for was, now in zip(cards, got, strict=False):
+        assert now.pii_kinds == ["card"] and now.text != was and re.sub("[0-9]", "0", now.text) == re.sub("[0-9]", "0", was)
+    assert got[0].text[16:] == " 12/27" and got[1].text[-3:] == " 99" and got[2].text[:3] == "12 " and got[0].text[:16] == got[2].text[3:] == got[1].text[:19].replace(" ", "")
+
+
 # ---- op7 and op9
 
 ALPHABET = [" ", " ", "  ", "\n", "\t", "'s", "'re", "'", "'ll", "'v", "a", "É", "1", "٣", "!", "é", "\u3000", "漢", "😀", "'S", "t", "e", "\u0085", "\x1c", "²", "<|endoftext|>", "\r\n", "\x00", "ab.", "ǅ", "Ⅷ"]

@@ -22,6 +22,8 @@ PATTERNS = {
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|(?<![0-9])[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: How a card's number is grouped if other digits stand beside it in a match.
+CARD_GROUPS = (r"[0-9]{13,19}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,4}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{1,3}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 DAYS, DAY_A, DAY_B = 146097, 189, 773  # the days of 400 years from 1800-01-01, and two factors of their number
 
 
@@ -92,12 +94,22 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(_chars(chars), F.lit(0), step)
 
 
+def _is_card(digits: Column) -> Column:
+    return (_luhn(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1).cast("int")) & digits.rlike("[1-9]")
+
+
 def _card(key: str, m: Column) -> tuple[Column, Column]:
-    digits = _strip(m)
-    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    valid = (_luhn(body) == F.substring(digits, -1, 1).cast("int")) & digits.rlike("[1-9]")
-    new = F.get(F.transform(F.array(_digits(key, "card", body)), lambda d: F.concat(d, _luhn(d).cast("string"))), 0)
-    return valid, _refill(m, new)
+    """The whole match, or else the first number in it that is grouped as on cards and has a valid check digit."""
+    parts = F.concat(*[F.regexp_extract_all(m, F.lit(rf"(?<![0-9])(?=({p})(?![0-9]))"), F.lit(1)) for p in CARD_GROUPS])
+    found = F.get(F.filter(F.concat(F.array(m), parts), lambda c: _is_card(_strip(c))), 0)
+
+    def replaced(c: Column) -> Column:
+        digits = _strip(c)
+        new = F.get(F.transform(F.array(_digits(key, "card", F.substr(digits, F.lit(1), F.length(digits) - 1))), lambda d: F.concat(d, _luhn(d).cast("string"))), 0)
+        return F.replace(m, c, _refill(c, new))
+
+    new = F.get(F.transform(F.filter(F.array(found), lambda c: c.isNotNull()), replaced), 0)
+    return new.isNotNull(), new
 
 
 def _phone(key: str, m: Column) -> tuple[Column, Column]:
