@@ -208,6 +208,31 @@ def test_jaccard_components(spark, seed):
     assert got == brute_components(docs)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_large_families_in_pieces(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    docs = copies(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+
+
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 700, 5000, 40_000):
+        tokens = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.unique(np.concatenate([tokens[: n * 7 // 8], rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        a, b = ngram_jaccard.pack_point(tokens), ngram_jaccard.pack_point(other)
+        assert ngram_jaccard.unpack_point(a, ngram_jaccard.GROUPS).sum() == len(tokens)
+        same = len(np.intersect1d(tokens, other))
+        assert same <= ngram_jaccard.most_overlap(a, b) == ngram_jaccard.most_overlap(b, a) <= min(len(tokens), len(other))
+    assert ngram_jaccard.unpack_point(ngram_jaccard.pack_point(np.full(1000, 512, np.uint64)))[0] == 1000
+
+
+def test_jaccard_refuses_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        ngram_jaccard.jaccard_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_jaccard_links_behind_a_refused_centre(spark):
     """Two texts link only with each other, but the centre, tried and refused, is nearer to both by the bound."""
     words = lambda tag, n: [f"{tag}7x{k}" for k in range(n)]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words, everywhere in this package: space and U+0009 to U+000D.
 SPACES = " \\t\\n\\x0B\\f\\r"
+#: Bytes of a row group of tables between steps: a writer holds one in memory, and texts are wide.
+ROW_GROUP = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,18 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and the planner knows its size.
 
-    The shuffle files of a finished write go at once; else they would stay until the driver collects its garbage.
+    The shuffle files of a finished write go at once; else they would stay until the driver collects its garbage. Inside
+    `tidied` the table goes at the end, unless it is `lasting`, as one must be that a result still reads.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    if _scopes and not lasting:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end what `materialise` wrote inside, but lasting tables."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bound_arrow(spark: SparkSession, size: str = "8m") -> None:
     """Bounds an Arrow batch by bytes, as a count of rows alone doesn't bound very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
