@@ -135,7 +135,7 @@ def piece_starts(codes: np.ndarray) -> np.ndarray:
 class Bpe:
     """Ranks, and the pieces merged lately in two generations: a full one becomes the older, whose pieces come back when they are used."""
 
-    def __init__(self, ranks_path: str, cached: int = 200_000):
+    def __init__(self, ranks_path: str, cached: int = 100_000):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
@@ -234,16 +234,20 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = (), offsets: bool = True, chars: int = 1 << 20) -> DataFrame:
-    """The columns `keep`, then ids (binary, little-endian unsigned 32-bit), n_tokens and offsets (binary like ids: where each token starts, in UTF-8 bytes).
+def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = (), offsets: bool = True, decoded: bool = False, chars: int = 1 << 18) -> DataFrame:
+    """The columns `keep`, then ids (binary, little-endian unsigned 32-bit), n_tokens, offsets (binary like ids: where each token starts, in UTF-8 bytes) and, if asked for, decoded (binary: the ids' bytes, decoded from them).
 
     ranks: path of a tiktoken file of a byte-level vocabulary. Every whole text is encoded without special tokens; a
     null text is empty and has no ids. Rows are independent: repeated rows get equal ids, an empty table stays empty;
-    columns that aren't kept don't matter, whatever their names.
+    columns that aren't kept don't matter, whatever their names; a kept one that has the name of a result is refused.
+    Decoding in the same pass saves a second set of Python workers.
     """
+    made = ["ids", "n_tokens", *["offsets"] * offsets, *["decoded"] * decoded]
+    if clash := set(keep) & set(made):
+        raise ValueError(f"columns {sorted(clash)} are results; rename them before")
     bound_arrow(df.sparkSession)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    schema = ", ".join([*kept, "ids binary", "n_tokens bigint", *["offsets binary"] * offsets])
+    schema = ", ".join([*kept, "ids binary", "n_tokens bigint", *["offsets binary"] * offsets, *["decoded binary"] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(ranks)
@@ -254,9 +258,12 @@ def encode_documents(df: DataFrame, ranks: str, text: str = "text", keep: tuple[
             columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if offsets:
                 columns.append(pa.array([model.offsets(x)[:-1].astype("<u4").tobytes() for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "n_tokens", *["offsets"] * offsets])
+            if decoded:
+                columns.append(pa.array([model.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    # By place, as a kept column may be called like anything.
+    return df.select(*keep, df[text]).mapInArrow(run, schema)
 
 
 def decode_documents(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -1,6 +1,6 @@
 """Conversations of typed content parts as one training string each.
 
-A visitor flattens every part of a turn: text parts are escaped, image, audio and document parts become placeholders in
+A visitor flattens every part of a turn: runs of text parts are escaped, image, audio and document parts become placeholders in
 order, and the reference and expanded token count of each attachment are recorded in the same order. Control strings
 look like `<|name|>`; in texts and roles a backslash is put into every `<|`, `<\\|`, `<\\\\|` ... , which can be undone
 and leaves no `<|` behind. All of it is DataFrame expressions.
@@ -38,9 +38,17 @@ def _kind(part: Column) -> Column:
     return F.when(kind.isin("text", "image", "audio"), kind).otherwise("document")
 
 
-def _flatten(part: Column) -> Column:
-    kind = _kind(part)
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+def _body(parts: Column) -> Column:
+    """Parts in order; texts that stand side by side are escaped as one, as a control string may be split between them."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+
+    def visit(state: Column, part: Column) -> Column:
+        kind = _kind(part)
+        return F.when(kind == "text", F.struct(state["done"].alias("done"), F.concat(state["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))).otherwise(
+            F.struct(F.concat(state["done"], escape(state["text"]), F.lit("<|"), kind, F.lit("|>")).alias("done"), F.lit("").alias("text"))
+        )
+
+    return F.aggregate(parts, start, visit, lambda s: F.concat(s["done"], escape(s["text"])))
 
 
 def format_chats(df: DataFrame, parts: Column, conversation: str = "conv_id", turn: str = "turn", role: str = "role", loss_role: str = "assistant", unit_tokens: Mapping[str, int] = UNIT_TOKENS) -> DataFrame:
@@ -60,7 +68,7 @@ def format_chats(df: DataFrame, parts: Column, conversation: str = "conv_id", tu
         F.col(conversation).alias(conversation),
         F.col(turn).alias("__turn"),
         F.concat(F.lit(START), escape(who), F.lit(SEP)).alias("__head"),
-        F.array_join(F.transform(safe_parts, _flatten), "").alias("__body"),
+        _body(safe_parts).alias("__body"),
         (who == loss_role).alias("__loss"),
         F.transform(F.filter(safe_parts, lambda p: _kind(p) != "text"), attachment).alias("__att"),
     )

@@ -36,6 +36,18 @@ def words_of(column: Column) -> Column:
     return F.filter(F.split(column, f"[{SPACES}]+"), lambda w: w != "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as make it unlike any column of df."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where none is set (tests) is a local one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)

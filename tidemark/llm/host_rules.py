@@ -1,16 +1,18 @@
 """Quality rules of a document, and of its host.
 
-A document fails on its own by the base rules. Failures are counted by host, the hosts' rates are shrunk towards an
-empirical beta prior (so a host with two documents isn't condemned by one), and a host whose shrunk rate is very high
-lends its verdict to its doubtful documents. All of it is DataFrame expressions.
+A document fails on its own by the base rules, and is doubtful by two weaker ones. Both are counted by host, the hosts'
+rates are shrunk towards an empirical beta prior (so a host with two documents isn't condemned by one), and a host that
+is probably worse than the average lends its verdict to its doubtful documents. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, materialise, text_of, words_of
+from tidemark.llm.common import SPACES, fresh, materialise, text_of, words_of
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -54,15 +56,17 @@ def doubtful(m: Column) -> Column:
     return (3 * m["n_symbols"] > m["n_words"]) | (3 * m["n_repeat_words"] > m["n_words"])
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
-    """One row for each host: documents, failures, shrunk rate, host_rejected.
+def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
+    """One row for each host: host, documents, failures, shrunk_rate, p_worse, host_rejected.
 
     The prior Beta(a, b) has the mean of all documents and the strength that the spread of the hosts' rates implies
     (method of moments over hosts with two documents or more; without any spread the prior weighs 1000 documents, with
-    extreme spread 1). A null host is a host of its own. Only one row of sums goes to the driver.
+    extreme spread 1). p_worse is the posterior probability, in normal approximation, that the host's rate is above that
+    mean; hosts of `min_documents` or more that reach `sure` are rejected. A null host is a host of its own. Only one row
+    of sums goes to the driver.
     """
-    hosts = judged.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    hosts = materialise(hosts, "host-counts")
+    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("documents"), F.sum(F.col(failed).cast("long")).alias("failures"))
+    hosts = materialise(hosts, "host-counts", lasting=True)
     rate = F.col("failures") / F.col("documents")
     many = F.col("documents") > 1
     sums = hosts.agg(
@@ -74,39 +78,45 @@ def host_verdicts(judged: DataFrame, host: str = "source", reject_rate: float =
     if sums.hosts and 0 < mean < 1:
         spread = max(0.0, sums.rr / sums.hosts - (sums.r / sums.hosts) ** 2 - mean * (1 - mean) * sums.inv / sums.hosts)
         strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
-    shrunk = (F.lit(mean * strength) + F.col("failures")) / (F.lit(strength) + F.col("documents"))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", (F.col("documents") >= min_documents) & (F.col("shrunk_rate") >= reject_rate))
+    out = hosts.withColumn("shrunk_rate", (F.lit(mean * strength) + F.col("failures")) / (F.lit(strength) + F.col("documents")))
+    deviation = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.lit(strength + 1) + F.col("documents")))
+    z = F.when(deviation > 0, (F.col("shrunk_rate") - mean) / deviation).otherwise(0.0)
+    p_worse = F.lit(0.5) * (1 + F.signum(z) * F.sqrt(1 - F.exp(-2 * z * z / F.lit(math.pi))))  # the normal distribution function, within 0.002
+    return out.withColumn("p_worse", p_worse).withColumn("host_rejected", (F.col("documents") >= min_documents) & (F.col("p_worse") >= sure))
 
 
-def _rejected(counted: DataFrame, host: str, reject_rate: float, min_documents: int) -> DataFrame:
-    bad = host_verdicts(counted, host, reject_rate, min_documents).where("host_rejected").select("__host")
-    return materialise(bad, "hosts-rejected").withColumn("host_rejected", F.lit(True))
+def _rejected(counted: DataFrame, sure: float, min_documents: int) -> DataFrame:
+    """The rejected ones of counted (host, failed)."""
+    return materialise(host_verdicts(counted, "host", "failed", sure, min_documents).where("host_rejected").select("host"), "hosts-rejected", lasting=True)
 
 
-def _with_verdict(df: DataFrame, bad: DataFrame, host: str) -> DataFrame:
-    """Hosts that aren't rejected need no row in the join; the planner broadcasts the rejected ones if their measured size allows, else splits hot hosts."""
-    joined = df.drop("host_rejected").join(bad, df[host].eqNullSafe(bad["__host"]), "left").drop("__host")
-    return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+def _with_verdict(df: DataFrame, bad: DataFrame, host: str, verdict: str) -> DataFrame:
+    """df with whether its host is rejected. Hosts that aren't need no row in the join; the planner broadcasts the rejected ones if their measured size allows, else splits hot hosts."""
+    (own,) = fresh(df, "rejected_host")
+    joined = df.join(bad.select(F.struct("host").alias(own)), df[host].eqNullSafe(F.col(own)["host"]), "left")
+    return joined.withColumn(verdict, F.col(own).isNotNull()).drop(own)
 
 
-def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
+def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
     """The columns `keep`, the metrics, base_failed, host_rejected and kept, a row for each row of df.
 
-    kept is false where the base rules fail, and where the host is rejected and the document is doubtful. Null texts
-    have no words, so they fail; a null host is a host of its own; repeated rows are judged alike; an empty table stays
-    empty; columns that aren't kept don't matter. Texts are read once: their metrics are written before hosts are counted.
+    kept is false where the base rules fail, and where the document is doubtful and its host rejected: a host counts as
+    failures what fails the base rules or is doubtful. So a doubtful document has the benefit of the doubt on a host that
+    is as good as others. Null texts have no words, so they fail; a null host is a host of its own; repeated rows are
+    judged alike; an empty table stays empty; columns that aren't kept don't matter, kept ones that are called like a
+    result are refused. Texts are read once: their metrics are written before hosts are counted.
     """
-    own = df.select(*keep, F.col(host).alias("__source"), metrics(text).alias("__m"))
-    own = own.select(*keep, "__source", "__m.*")
-    row = F.struct(*METRICS)
-    own = materialise(own.withColumns({"base_failed": base_failed(row), "__doubt": doubtful(row)}), "metrics")
-    out = _with_verdict(own, _rejected(own, "__source", reject_rate, min_documents), "__source")
-    return out.select(*keep, *METRICS, "base_failed", "host_rejected", (~F.col("base_failed") & ~(F.col("host_rejected") & F.col("__doubt"))).alias("kept"))
-
-
-def keep_documents(df: DataFrame, host: str = "source", text: str = "text", reject_rate: float = 0.9, min_documents: int = 20) -> DataFrame:
-    """The rows of df that judge_documents keeps, whole. Texts are judged twice, for the hosts and for themselves, as that costs less than to write or shuffle them."""
-    bad = _rejected(df.select(F.col(host).alias("__source"), _let(metrics(text), base_failed).alias("base_failed")), "__source", reject_rate, min_documents)
-    state = _let(metrics(text), lambda m: F.when(base_failed(m), 2).when(doubtful(m), 1).otherwise(0))
-    judged = df.withColumn("__state", state).where("__state < 2")
-    return _with_verdict(judged.withColumn("__source", F.col(host)), bad, "__source").where("NOT host_rejected OR __state = 0").select(*df.columns)
+    if clash := set(keep) & {*METRICS, "base_failed", "host_rejected", "kept"}:
+        raise ValueError(f"columns {sorted(clash)} are results; rename them before")
+    own = df.select(F.struct(*keep).alias("given"), F.col(host).alias("host"), metrics(text).alias("m"))
+    own = materialise(own.withColumns({"base": base_failed(F.col("m")), "doubt": doubtful(F.col("m"))}), "metrics", lasting=True)
+    out = _with_verdict(own, _rejected(own.select("host", (F.col("base") | F.col("doubt")).alias("failed")), sure, min_documents), "host", "verdict")
+    return out.select("given.*", "m.*", F.col("base").alias("base_failed"), F.col("verdict").alias("host_rejected"), (~F.col("base") & ~(F.col("verdict") & F.col("doubt"))).alias("kept"))
+
+
+def keep_documents(df: DataFrame, host: str = "source", text: str = "text", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
+    """The rows of df that judge_documents keeps, whole, whatever their other columns are called. Texts are judged twice, for the hosts and for themselves, as that costs less than to write or shuffle them."""
+    bad = _rejected(df.select(F.col(host).alias("host"), _let(metrics(text), lambda m: base_failed(m) | doubtful(m)).alias("failed")), sure, min_documents)
+    state, verdict = fresh(df, "state", "verdict")
+    judged = df.withColumn(state, _let(metrics(text), lambda m: F.when(base_failed(m), 2).when(doubtful(m), 1).otherwise(0))).where(F.col(state) < 2)
+    return _with_verdict(judged, bad, host, verdict).where(~F.col(verdict) | (F.col(state) == 0)).select(*df.columns)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 ROUNDS = 8
 #: What may be personal, in order of precedence, and the kinds' names.
 PATTERNS = {
@@ -136,17 +138,27 @@ def _ip(key: str, m: Column) -> tuple[Column, Column]:
 
 
 def _date(key: str, m: Column) -> tuple[Column, Column]:
-    """Day before month, unless the year leads. Valid days of 1800 to 2199 are permuted among themselves."""
-    iso = F.when(m.rlike("^[0-9]{4}"), m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    """Day before month, unless the year leads or that order isn't valid. Valid days of 1800 to 2199 are permuted among themselves.
+
+    What can be read with the month first only goes to another such day: the permutation is repeated until it meets one,
+    so that no two dates get one pseudonym.
+    """
+    one, two, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
+    lead = m.rlike("^[0-9]{4}")
+    swapped = ~lead & (two.cast("int") > 12)
+    iso = F.when(lead, m).when(swapped, F.concat_ws("-", year, one, two)).otherwise(F.concat_ws("-", year, two, one))
     day = F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1800-01-01").cast("date"))
     valid = F.coalesce((day >= 0) & (day < DAYS), F.lit(False))
     safe = F.when(valid, day).otherwise(0)
-    pair = feistel(key, "date", F.floor(safe / DAY_B), safe % DAY_B, F.lit(DAY_A), F.lit(DAY_B))
+    moved = lambda a, b: feistel(key, "date", a, b, F.lit(DAY_A), F.lit(DAY_B))
+    day_of = lambda p: F.date_add(F.lit("1800-01-01").cast("date"), (p["a"] * DAY_B + p["b"]).cast("int"))
+    again = F.array_repeat(F.lit(0), F.when(swapped, 60).otherwise(0))  # two of five days don't do: 60 times in a row never happens
+    pair = F.aggregate(again, moved(F.floor(safe / DAY_B), safe % DAY_B), lambda p, _: F.when(F.dayofmonth(day_of(p)) <= 12, moved(p["a"], p["b"])).otherwise(p))
 
     def to(p: Column) -> Column:
-        new = F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (p["a"] * DAY_B + p["b"]).cast("int")), "yyyy-MM-dd")
-        mark = F.substring(m, 3, 1)
-        return F.when(m.rlike("^[0-9]{4}"), new).otherwise(F.concat(F.substring(new, 9, 2), mark, F.substring(new, 6, 2), mark, F.substring(new, 1, 4)))
+        new = F.date_format(day_of(p), "yyyy-MM-dd")
+        mark, month, day = F.substring(m, 3, 1), F.substring(new, 6, 2), F.substring(new, 9, 2)
+        return F.when(lead, new).otherwise(F.concat(F.when(swapped, month).otherwise(day), mark, F.when(swapped, day).otherwise(month), mark, F.substring(new, 1, 4)))
 
     return valid, F.get(F.transform(F.array(pair), to), 0)
 
@@ -217,10 +229,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
     t = F.col(text)
     some = F.coalesce(t.rlike("[0-9@]"), F.lit(False))
-    out = df.withColumn("__m", F.when(some, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("__new", F.transform("__m", lambda m: _judged(key, m)))
-    out = out.withColumn("__pieces", F.when(F.size("__m") > 0, F.split(t, pattern)))
-    joined = F.array_join(F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i)["text"], F.lit("")))), "")
-    out = out.withColumn(text, F.when(F.size("__m") > 0, joined).otherwise(t))
-    out = out.withColumn("pii_kinds", F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull()))
-    return out.drop("__m", "__new", "__pieces")
+    found, new, pieces = fresh(df, "found", "new", "pieces")
+    out = df.withColumn(found, F.when(some, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn(new, F.transform(found, lambda m: _judged(key, m)))
+    out = out.withColumn(pieces, F.when(F.size(found) > 0, F.split(t, pattern)))
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i)["text"], F.lit("")))), "")
+    out = out.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))
+    out = out.withColumn("pii_kinds", F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull()))
+    return out.drop(found, new, pieces)

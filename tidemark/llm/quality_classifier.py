@@ -198,7 +198,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", s: Se
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros((s.buckets, s.dims), np.float64)
-    for row in sample.select("text").mapInArrow(contexts, "total binary").toLocalIterator():  # `parts` rows
+    for row in sample.select("text").mapInArrow(contexts, "total binary").collect():  # `parts` rows of fixed size, made side by side
         total += np.frombuffer(row.total, np.float32).reshape(total.shape)
     vectors = word_vectors(total, index)
     given = documents.sparkSession.sparkContext.broadcast(vectors)

@@ -106,8 +106,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, keep=("doc_id",), offsets=False)
-    read = byte_bpe.decode_documents(ids, ranks)
+    read = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, keep=("doc_id",), offsets=False, decoded=True)
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -138,14 +137,19 @@ WITH base AS (
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM metrics
 ), hosts AS (
-  SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed THEN 1.0 ELSE 0.0 END)::DOUBLE AS f FROM judged GROUP BY source
+  SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR 3 * n_symbols > n_words OR 3 * n_repeat_words > n_words THEN 1.0 ELSE 0.0 END)::DOUBLE AS f
+  FROM judged GROUP BY source
 ), sums AS (
   SELECT sum(f) / sum(n) AS m, avg(f / n) FILTER (WHERE n > 1) AS r, avg(f / n * f / n) FILTER (WHERE n > 1) AS rr, avg(1 / n) FILTER (WHERE n > 1) AS inv FROM hosts
 ), prior AS (
   SELECT m, CASE WHEN m > 0 AND m < 1 AND rr - r * r - m * (1 - m) * inv > 0
     THEN least(1000.0, greatest(1.0, m * (1 - m) / (rr - r * r - m * (1 - m) * inv) - 1)) ELSE 1000.0 END AS strength FROM sums
+), shrunk AS (
+  SELECT source, n, m, (m * strength + f) / (strength + n) AS r, strength FROM hosts, prior
+), scored AS (
+  SELECT source, n, CASE WHEN r > 0 AND r < 1 THEN (r - m) / sqrt(r * (1 - r) / (strength + 1 + n)) ELSE 0 END AS z FROM shrunk
 ), verdicts AS (
-  SELECT source, n >= 20 AND (m * strength + f) / (strength + n) >= 0.9 AS host_rejected FROM hosts, prior
+  SELECT source, n >= 20 AND 0.5 * (1 + sign(z) * sqrt(1 - exp(-2 * z * z / pi()))) >= 0.6 AS host_rejected FROM scored
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
   NOT base_failed AND NOT (host_rejected AND (3 * n_symbols > n_words OR 3 * n_repeat_words > n_words)) AS kept

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, text_of
 
 
+#: Places that are compared in one row, on average: a long text with many hits gets several rows.
+HITS = 256
+
+
 def sure_run(n: int, window: int, share: float) -> int:
     """The longest run of equal words that is in every window, of an item of n words, that agrees in `share` of its places."""
     wide = min(n, window)
@@ -51,7 +55,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     if not 0 < share <= 1:
         raise ValueError("share must be over 0 and at most 1")
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of_text(F.col(text)).alias("iw")).where(F.size("iw") > 0)
-    items = materialise(items, "items")
+    items = materialise(items, "items", lasting=True)
     wide = F.least(F.lit(window), F.size("iw"))
     widths = [r.n for r in items.select(wide.alias("n")).distinct().collect()]  # at most `window` values
     runs = sorted({sure_run(n, window, share) for n in widths} or {1})
@@ -59,13 +63,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     seeds = parts[0]
     for part in parts[1:]:
         seeds = seeds.unionByName(part)
-    seeds = materialise(seeds.withColumnRenamed("pos", "at"), "seeds")
+    seeds = materialise(seeds.withColumnRenamed("pos", "at"), "seeds", lasting=True)
     small = seeds.count() <= broadcast_seeds
 
     docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("__text"))
     windows = docs.select("doc", words_of_text(F.col("__text")).alias("w")).select("doc", F.inline(seeds_of(F.col("w"), runs)))
     hits = windows.join(F.broadcast(seeds) if small else seeds, "seed").select("doc", "item", "len", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
-    hits = materialise(hits.groupBy("doc").agg(F.collect_set(F.struct("item", "len", "diagonal")).alias("hits")), "hits")
+    hits = materialise(hits, "hits", lasting=True)
+    parts = hits.groupBy("doc").agg(F.ceil(F.count("*") / HITS).cast("int").alias("parts"))
+    hits = hits.join(materialise(parts, "hit-parts", lasting=True), "doc").groupBy("doc", F.pmod(F.xxhash64("item", "diagonal"), "parts").alias("part")).agg(F.collect_list(F.struct("item", "len", "diagonal")).alias("hits"))
+    hits = materialise(hits.drop("part"), "hit-groups", lasting=True)
 
     held = docs.join(hits, "doc").select("doc", "hits", words_of_text(F.col("__text")).alias("w"))
     first = lambda h: F.greatest(h["diagonal"], F.lit(0))
@@ -83,5 +90,5 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     """documents without those that leak; rows with a null doc_id aren't judged and stay."""
-    leaks = materialise(find_leaks(documents, benchmark, doc_id, **kw).select(F.col(doc_id).alias("__leak")).distinct(), "leaks")
-    return documents.join(leaks, documents[doc_id] == leaks["__leak"], "left_anti")
+    leaks = materialise(find_leaks(documents, benchmark, doc_id, **kw).select(F.col(doc_id).alias("leak")).distinct(), "leaks", lasting=True)
+    return documents.join(leaks, documents[doc_id] == leaks["leak"], "left_anti")

@@ -2,7 +2,7 @@
 
 An Arrow function cuts each text at safe boundaries: before a space that a non-space follows, where the byte-level
 pre-tokeniser always starts a new piece, whatever stands around it. So a text's count is the sum of its segments'
-counts, a text of any length is never encoded in one call, and a segment seen before is looked up. Unknown segments are
+counts, a long text is never encoded in one call (but for a stretch without spaces, which is one segment), and a segment seen before is looked up. Unknown segments are
 cut further, around a line break between non-spaces and before closing punctuation, and then encoded in batches balanced
 by bytes. Counts are cached in two generations, a full one becoming the older; that changes no result.
 """

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, fresh
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,8 @@ def judge_urls(df: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url"
         return pd.Series(found)
 
     host, path = host_and_path(F.col(url))
-    pick = lambda values: F.when(F.col("__rule") >= 0, F.get(F.array(*[F.lit(v) for v in values] or [F.lit("")]), F.col("__rule")))
-    out = df.withColumns({"host": host, "path": path}).withColumn("__rule", best("host", "path"))
+    (at,) = fresh(df, "rule_number")
+    pick = lambda values: F.when(F.col(at) >= 0, F.get(F.array(*[F.lit(v) for v in values] or [F.lit("")]), F.col(at)))
+    out = df.withColumns({"host": host, "path": path}).withColumn(at, best("host", "path"))
     out = out.withColumns({"rule": pick([str(r) for r in rules]), "verdict": F.coalesce(pick([r.verdict for r in rules]), F.lit(default))})
-    return out.drop("__rule")
+    return out.drop(at)
