@@ -117,6 +117,6 @@ def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: st
 def keep_documents(df: DataFrame, host: str = "source", text: str = "text", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
     """The rows of df that judge_documents keeps, whole, whatever their other columns are called. Texts are judged twice, for the hosts and for themselves, as that costs less than to write or shuffle them."""
     bad = _rejected(df.select(F.col(host).alias("host"), _let(metrics(text), lambda m: base_failed(m) | doubtful(m)).alias("failed")), sure, min_documents)
-    state, verdict = fresh(df, "state", "verdict")
-    judged = df.withColumn(state, _let(metrics(text), lambda m: F.when(base_failed(m), 2).when(doubtful(m), 1).otherwise(0))).where(F.col(state) < 2)
-    return _with_verdict(judged, bad, host, verdict).where(~F.col(verdict) | (F.col(state) == 0)).select(*df.columns)
+    (verdict,) = fresh(df, "verdict")
+    kept = _let(metrics(text), lambda m: ~base_failed(m) & ~(F.col(verdict) & doubtful(m)))
+    return _with_verdict(df, bad, host, verdict).where(kept).select(*df.columns)

@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -70,7 +71,7 @@ def token_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if len(hashes) > 300_000:
+    if len(hashes) > 100_000:
         hashes.clear()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     wide = min(n, width)
@@ -103,26 +104,16 @@ def measure(docs: DataFrame, width: int) -> DataFrame:
     pieces, names = (1 << TABLE_BITS) // PIECE, ["doc_id", "n", "cid", "piece", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, waiting, held = WordHashes(), np.zeros(1 << TABLE_BITS, np.uint32), [], 0
-
-        def add() -> None:
-            if waiting:
-                total[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS).astype(np.uint32)
-
+        hashes, total = WordHashes(), np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in batches:
             ns, cids = [], []
             for text in batch.column(1).to_pylist():
                 tokens = token_set(text, hashes, width)
                 ns.append(len(tokens))
                 cids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63))
-                waiting.append(tokens)
-                held += len(tokens)
-                if held > 1 << 20:
-                    add()
-                    waiting, held = [], 0
+                np.add.at(total, (tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(ns))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        add()
         parts = [(k, x.astype(np.min_scalar_type(int(x.max()))).tobytes()) for k, x in enumerate(total.reshape(pieces, PIECE)) if x.any()]
         none = pa.nulls(len(parts))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
@@ -210,33 +201,44 @@ def most_overlap(a: bytes, b: bytes) -> int:
 def points_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, doc_id, n, point) of the classes that `wanted` names by (cid, doc_id)."""
 
+    slot, shared = _bitmap(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
+            batch = batch.filter(pa.array(_marked(shared.value, batch.column(2).to_numpy())))
             sets = [token_set(text, hashes, width) for text in batch.column(1).to_pylist()]
             cids = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([pack_point(x) for x in sets], pa.binary())], names=["doc_id", "cid", "n", "point"])
 
-    made = _among(docs, wanted).mapInArrow(run, "doc_id bigint, cid bigint, n int, point binary")
+    made = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id bigint, cid bigint, n int, point binary")
     named = wanted.select("cid", F.col("doc_id").alias("rep"))
     return made.join(named, "cid").where("doc_id = rep").select("cid", "doc_id", "n", "point").dropDuplicates(["cid"])
 
 
-def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs whose doc_id may be in `wanted`: told by a bitmap of a bit or more for each, of 16 MB at most, so that a join needn't shuffle all texts."""
+def _bitmap(wanted: DataFrame) -> tuple[Column, Broadcast]:
+    """A place for each doc_id, and a bitmap of the places of those in `wanted`: a bit or more for each, of 16 MB at most."""
     bits = 1 << min(27, max(20, (8 * wanted.count()).bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = wanted.select(slot("doc_id").alias("s")).groupBy(F.expr("int(s div 32)").alias("w")).agg(F.expr("bit_or(shiftleft(1, int(s % 32)))").alias("m")).toPandas()  # bits / 32 rows at most
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(slot.alias("s")).groupBy(F.expr("int(s div 32)").alias("w")).agg(F.expr("bit_or(shiftleft(1, int(s % 32)))").alias("m")).toPandas()  # bits / 32 rows at most
     bitmap = np.zeros(bits // 32, np.uint32)
     bitmap[words["w"]] = words["m"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return slot, wanted.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _marked(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 5] >> (slots & 31).astype(np.uint32)) & 1 == 1
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs whose doc_id may be in `wanted`, told by the bitmap, so that a join needn't shuffle all texts."""
+    slot, shared = _bitmap(wanted)
 
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
-        s = s.to_numpy()
-        return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
+        return pd.Series(_marked(shared.value, s.to_numpy()))
 
-    return docs.where(maybe(slot("doc_id"))).select("doc_id", "text")
+    return docs.where(maybe(slot)).select("doc_id", "text")
 
 
 class CountTree:
@@ -478,7 +480,7 @@ def jaccard_components(df: DataFrame, percent: int = 75, width: int = 5, hot: in
     """
     if not isinstance(df.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer")
-    bound_arrow(df.sparkSession)
+    bound_arrow(df.sparkSession, "4m")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = materialise(measure(rows, width), "sets", lasting=True)
     with tidied(df.sparkSession):
