@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import odds, outcomes, text
-from tidemark.operators import asof, ledger, models, policy, quotes, ratings, schedule, scores
+from tidemark.operators import asof, ledger, markets, models, paths, policy, quotes, ratings, resample, schedule, scores
 from tidemark.sources import pages, payloads
 
 
@@ -181,3 +181,26 @@ def test_html_tables_and_links(spark):
     df = spark.createDataFrame([(1, html), (2, None), (3, "<tr><td>")], "page_id long, html string")
     assert [tuple(r) for r in pages.cells(df, "page_id", "html").orderBy("page_id", "row", "col").collect()] == [(1, 0, 0, "x"), (1, 1, 0, "a b"), (1, 1, 1, "3 of 7")]
     assert [tuple(r) for r in pages.links(df, "page_id", "html").collect()] == [(1, "/e/abc", "abc", "Card")]
+
+
+def test_folds_count_the_other_cards_before_the_cutoff(spark):
+    """Ties of a start and a cutoff don't count; a card that starts before its own cutoff doesn't train itself."""
+    cards = spark.createDataFrame([(1, 10, 5), (2, 20, 10), (3, 30, 35), (4, 30, 31), (5, None, 100), (6, 7, None)], "card int, start int, cut int")
+    rows = cards.collect()
+    want = {t.card: sorted(r.start for r in rows if r.card != t.card and r.start is not None and t.cut is not None and r.start < t.cut) for t in rows}
+    got = {r.test_card: (r.n_train, r.last_train) for r in resample.expanding_folds(cards, "card", "start", "cut").collect()}
+    assert got == {c: (len(s), max(s, default=None)) for c, s in want.items()}
+
+
+def test_bankroll_that_loses_all_stays_at_nothing(spark):
+    bets = spark.createDataFrame([(1, c, r) for c, r in enumerate([0.5, -0.2, -1.0, 0.5])] + [(2, c, r) for c, r in enumerate([0.5, -0.5, 0.2])], "k int, card int, r double")
+    got = {x.k: (round(x.bankroll, 9), round(x.max_drawdown, 9)) for x in paths.kelly_bankroll(bets, ["k"], "card", "card", F.lit(1.0), F.col("r")).collect()}
+    assert got == {1: (0.0, 1.0), 2: (0.9, 0.5)}
+
+
+def test_rows_derive_what_atoms_derive(spark):
+    p = [(k + 1) / 780 for k in range(39)]
+    fine = spark.createDataFrame([(1, s, c, k, x) for (s, c, k), x in zip(markets.atom_list(3), p, strict=True)], "b int, side string, cause string, interval int, p double")
+    row = spark.createDataFrame([(1, p)], "b int, p array<double>")
+    a, b = ({(r.family, r.outcome): round(r.probability, 12) for r in df.collect()} for df in (markets.derive(fine, ["b"]), markets.derive_row(row, ["b"], F.col("p"), 3)))
+    assert a == b and len(a) == 27

@@ -35,6 +35,35 @@ def atoms(spark, rounds: int) -> DataFrame:
     return named.unionByName(ends)
 
 
+def atom_list(rounds: int) -> list[tuple[str | None, str, int | None]]:
+    """(side, cause, interval) of all atoms of a schedule, in the order that derive_row expects."""
+    finishes = [(side, cause, k) for k in range(2 * rounds) for side in "ab" for cause in CAUSES]
+    return finishes + [("a", "decision", None), ("b", "decision", None), (None, "decision", None)]
+
+
+def _cells(side: str | None, cause: str, k: int | None) -> dict[str, str]:
+    """The outcome of each family to which an atom belongs."""
+    return {
+        "moneyline": f"fighter_{side}" if side else "draw",
+        "goes_distance": "goes_distance" if k is None else "inside_distance",
+        "method": cause if side else "draw",
+        "fighter_by_method": f"{side}_{cause}" if side else "draw",
+        "exact_round": "distance" if k is None else f"round_{k // 2 + 1}",
+        "totals_1.5": "under" if k is not None and k <= 2 else "over",
+        "totals_2.5": "under" if k is not None and k <= 4 else "over",
+    }
+
+
+def derive_row(rows: DataFrame, keys: list[str], p: Column, rounds: int) -> DataFrame:
+    """As derive, from one array of probabilities a row, in the order of atom_list: sums within the row, nothing is shuffled."""
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, atom in enumerate(atom_list(rounds)):
+        for cell in _cells(*atom).items():
+            places.setdefault(cell, []).append(k)
+    sums = [F.struct(F.lit(family).alias("family"), F.lit(outcome).alias("outcome"), sum((F.get("__p", k) for k in at[1:]), F.get("__p", at[0])).alias("probability")) for (family, outcome), at in places.items()]
+    return rows.select(*keys, p.alias("__p")).select(*keys, F.inline(F.array(*sums)))
+
+
 def derive(fine: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Market outcomes from atoms (side, cause, interval): long rows of family and outcome. Each atom feeds all families at once."""
     side, cause, k = F.col("side"), F.col("cause"), F.col("interval")

@@ -52,16 +52,17 @@ def win_probability(weights: Column, features: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def platt(logit: np.ndarray, y: np.ndarray, penalty: float = 1e-4, bound: float = 50.0) -> tuple[float, float]:
-    """Slope and intercept by damped Newton steps on the mean loss with a small ridge; a fit at its bounds is an error."""
+def platt(logit: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, penalty: float = 1e-4, bound: float = 50.0) -> tuple[float, float]:
+    """Slope and intercept by damped Newton steps on the mean loss with a small ridge; a fit at its bounds is an error. `times`: how often each row occurs."""
+    share = np.full(len(y), 1 / len(y)) if times is None else times / times.sum()
     design, theta = np.column_stack([logit, np.ones_like(logit)]), np.array([1.0, 0.0])
     sign = 2 * y - 1
-    objective = lambda t: np.logaddexp(0, -sign * (design @ t)).mean() + penalty / 2 * (t @ t)
+    objective = lambda t: share @ np.logaddexp(0, -sign * (design @ t)) + penalty / 2 * (t @ t)
     loss = objective(theta)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -35, 35)))
-        grad = design.T @ (p - y) / len(y) + penalty * theta
-        hess = (design * (p * (1 - p))[:, None]).T @ design / len(y) + penalty * np.eye(2)
+        grad = design.T @ (share * (p - y)) + penalty * theta
+        hess = (design * (share * p * (1 - p))[:, None]).T @ design + penalty * np.eye(2)
         move, size = np.linalg.solve(hess, grad), 1.0
         while (new := objective(theta - size * move)) > loss - 1e-4 * size * (grad @ move) and size > 1e-8:
             size /= 2

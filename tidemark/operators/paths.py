@@ -25,17 +25,17 @@ def losing_runs(bets: DataFrame, keys: Sequence[str], order: Sequence[str], sett
 
 
 def kelly_bankroll(bets: DataFrame, keys: Sequence[str], card: str, card_order: str, share: Column, payoff: Column) -> DataFrame:
-    """All bets of a card stake from the bankroll at its start; the product over cards, and the deepest fall from the peak as a share of it."""
-    cards = bets.groupBy(*keys, card).agg(F.min(card_order).alias("__o"), F.sum(share * payoff).alias("__r"))
-    path = cards.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__o", card, "__r"))).alias("__p"))
-    start = F.struct(F.lit(1.0).alias("b"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("fall"))
-
-    def step(s: Column, x: Column) -> Column:
-        b = s["b"] * (1 + x["__r"])
-        peak = F.greatest(s["peak"], b)
-        return F.struct(b.alias("b"), peak.alias("peak"), F.greatest(s["fall"], (peak - b) / peak).alias("fall"))
+    """All bets of a card stake from the bankroll at its start; the product over cards, and the deepest fall from the peak as a share of it.
 
-    return path.select(*keys, F.aggregate("__p", start, step).alias("k")).select(*keys, F.col("k.b").alias("bankroll"), F.col("k.fall").alias("max_drawdown"))
+    The product is a running sum of logarithms; a card that loses all ends the bankroll at 0. A key's cards pass one task
+    in order, without being held.
+    """
+    cards = bets.groupBy(*keys, card).agg(F.min(card_order).alias("__o"), F.sum(share * payoff).alias("__r"))
+    w = Window.partitionBy(*keys).orderBy("__o", card).rowsBetween(Window.unboundedPreceding, 0)
+    rate = 1 + F.col("__r")
+    grown = F.exp(F.sum(F.when(rate != 0, F.log(F.abs(rate)))).over(w)) * F.when(F.count_if(rate < 0).over(w) % 2 == 1, -1.0).otherwise(1.0)
+    path = cards.withColumn("__b", F.when(F.count_if(rate == 0).over(w) > 0, 0.0).otherwise(grown)).withColumn("__peak", F.greatest(F.lit(1.0), F.max("__b").over(w)))
+    return path.groupBy(*keys).agg(F.max_by("__b", F.struct("__o", card)).alias("bankroll"), F.max((F.col("__peak") - F.col("__b")) / F.col("__peak")).alias("max_drawdown"))
 
 
 def running(bets: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:

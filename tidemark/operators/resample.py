@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def expanding_folds(cards: DataFrame, card: str, start: str, cutoff: str) -> DataFrame:
-    """Each card is a test fold once; it trains on the cards that started before its cutoff. Cards are blocks, few beside their rows."""
-    test = cards.select(F.col(card).alias("test_card"), F.col(cutoff).alias("__c"))
-    train = cards.select(F.col(card).alias("train_card"), F.col(start).alias("__s"))
-    pairs = test.join(train, (F.col("__s") < F.col("__c")) & (F.col("train_card") != F.col("test_card")), "left")
-    return pairs.groupBy("test_card").agg(F.count("train_card").alias("n_train"), F.max("__s").alias("last_train"))
+    """Each card is a test fold once; it trains on the other cards that started before its cutoff: test_card, n_train, last_train.
+
+    Starts and cutoffs are one line of time that a window walks once; cards are blocks, few beside their rows.
+    """
+    begun = Window.orderBy("at", "card")
+    starts = cards.select(F.col(card).alias("card"), F.col(start).alias("at")).where("at IS NOT NULL").withColumn("before", F.lag("at").over(begun))
+    line = starts.select("at", "card", "before", F.lit(1).alias("kind")).unionByName(cards.select(F.col(cutoff).alias("at"), F.col(card).alias("card"), F.lit(None).cast(starts.schema["at"].dataType).alias("before"), F.lit(0).alias("kind")))
+    walk = Window.orderBy("at", "kind", "card").rowsBetween(Window.unboundedPreceding, -1)  # a cutoff comes before the starts at its time
+    seen = line.withColumns({"n": F.coalesce(F.sum("kind").over(walk), F.lit(0)), "last": F.last(F.when(F.col("kind") == 1, F.struct("card", "at", "before")), ignorenulls=True).over(walk)}).where("kind = 0 AND at IS NOT NULL")
+    own = cards.select(F.col(card).alias("card"), (F.col(start) < F.col(cutoff)).alias("own"))
+    out = cards.select(F.col(card).alias("card")).join(seen.select("card", "n", "last"), "card", "left").join(own, "card")
+    late = F.when(F.col("last.card") == F.col("card"), F.col("last.before")).otherwise(F.col("last.at"))
+    return out.select(F.col("card").alias("test_card"), (F.coalesce("n", F.lit(0)) - F.coalesce(F.col("own"), F.lit(False)).cast("int")).cast("long").alias("n_train"), late.alias("last_train"))
 
 
 def hashed_draws(blocks: DataFrame, place: str, n_blocks: int, replicates: int) -> DataFrame:

@@ -116,14 +116,13 @@ def missing_outcomes(spark, d):
     return p.where("p_size > 10").select("p_brand", "p_size").subtract(p.where("p_retailprice > 1500").select("p_brand", "p_size")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {OBS_SQL}, b AS (SELECT user_id, event_type, arg_max(value, {{'a': effective_at, 'b': observed_at, 'c': event_id}}) AS v FROM obs WHERE effective_at < {T} AND observed_at <= {T} GROUP BY ALL) SELECT 0 AS changed WHERE false""".replace("SELECT 0 AS changed WHERE false", "SELECT CAST(0 AS BIGINT) AS changed"))
+@query(f"""WITH {OBS_SQL}, b AS (SELECT user_id, event_type, max({{'a': effective_at, 'b': observed_at, 'c': event_id}}) AS v FROM obs WHERE effective_at < {T} AND observed_at <= {T} GROUP BY ALL) SELECT user_id, event_type, v.a AS effective_at, v.b AS observed_at, v.c AS event_id FROM b""")
 def future_invariance(spark, d):
-    """Facts observed or in force after the cutoff are added; the rows of the answer that change are counted."""
+    """Facts observed after the cutoff are added to all; the answer must be the one without them."""
     o = observations(spark, d).select("event_id", "user_id", "event_type", "value", "effective_at", "observed_at")
     late = o.withColumns({"event_id": F.col("event_id") + 10**9, "value": F.col("value") + 1, "observed_at": F.greatest(F.col("observed_at"), cutoff()) + F.expr("INTERVAL 1 SECOND")})
     ask = lambda df: asof.latest_as_of(df, ["user_id", "event_type"], ["effective_at", "observed_at", "event_id"], cutoff())
-    a, b = ask(o), ask(o.unionByName(late))
-    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("changed"))
+    return ask(o.unionByName(late)).select("user_id", "event_type", "effective_at", "observed_at", "event_id")
 
 
 @query("""WITH t AS (SELECT l_suppkey AS s, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b FROM lineitem GROUP BY 1) SELECT s, round(a / nullif(a + b, 0), 9) AS p FROM t""")
@@ -134,16 +133,18 @@ def conditional_decisive(spark, d):
 
 @query(None)
 def prior_calibration(spark, d):
-    """Walk-forward: each month's calibrator is fitted to the earlier months' predictions alone; months run side by side."""
-    s = _scored(spark, d).select(F.dayofyear("ts").alias("day"), odds.logit(F.col("p"), 0.005).alias("logit"), "y")
-    folds = s.select(F.floor(F.col("day") / 5).alias("fold")).distinct()
-    train = folds.join(s, F.floor(F.col("day") / 5) < F.col("fold"))
+    """Walk-forward: the calibrator of each five days is fitted to the predictions of the days before alone. Equal (logit, y) are counted first, so a fit gets a row for each distinct prediction and result."""
+    s = _scored(spark, d).select(F.floor(F.dayofyear("ts") / 5).alias("own"), odds.logit(F.col("p"), 0.005).alias("logit"), "y")
+    counts = s.groupBy("own", "logit", "y").agg(F.count("*").alias("n"))
+    last = s.agg(F.max("own")).first()[0] or 0
+    later = counts.where(F.col("own") < last).select("logit", "y", "n", F.explode(F.sequence(F.col("own") + 1, F.lit(last))).alias("fold"))
+    train = later.join(s.select(F.col("own").alias("fold")).distinct(), "fold", "left_semi").groupBy("fold", "logit", "y").agg(F.sum("n").alias("n"))
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = models.platt(frame["logit"].to_numpy(), frame["y"].to_numpy())
-        return pd.DataFrame({"fold": [key[0]], "slope": [round(a, 6)], "intercept": [round(b, 6)], "n": [len(frame)]})
+        a, b = models.platt(frame["logit"].to_numpy(), frame["y"].to_numpy(), frame["n"].to_numpy())
+        return pd.DataFrame({"fold": [key[0]], "slope": [round(a, 6)], "intercept": [round(b, 6)], "n": [int(frame["n"].sum())]})
 
-    return train.select("fold", "logit", "y").groupBy("fold").applyInPandas(run, "fold long, slope double, intercept double, n long")
+    return train.groupBy("fold").applyInPandas(run, "fold long, slope double, intercept double, n long")
 
 
 @query(None)
@@ -169,10 +170,11 @@ def physical_features(spark, d):
     return table(spark, d, "part").select("p_partkey", F.datediff(F.lit("2024-01-16").cast("date"), born).alias("days"), F.when(F.col("p_size") % 2 == 0, 1.0).otherwise(0.0).alias("southpaw"))
 
 
-@query(f"""WITH {OBS_SQL} SELECT count(*) AS n FROM obs""")
+@query("""WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', event_id, user_id, event_type)), 1, 12)) AS BIGINT) AS h FROM events) SELECT count(*) AS n, bit_xor(h) AS x, CAST(sum(h) AS BIGINT) AS s FROM h""")
 def data_fingerprint(spark, d):
-    o = observations(spark, d)
-    return ledger.fingerprint(o, o.columns).select("n")
+    """The digest of all rows, equal whatever their order and partitions."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type").repartition(7)
+    return ledger.fingerprint(e, e.columns)
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey DESC) rn FROM orders) WHERE rn = 1""")

@@ -206,8 +206,8 @@ def quote_join_ladder(spark, d):
         (k % 7 != 0).alias("eligible"), (k % 19 == 0).alias("replacement"), (F.col("event_id") % 97 == 0).alias("ambiguous"),
     )
     e = table(spark, d, "events")
-    families = [x.event_type for x in e.select("event_type").distinct().collect()]
-    wanted = e.select(F.col("user_id").alias("bout")).distinct().select("bout", F.explode(F.array(*map(F.lit, families))).alias("family")).select("*", F.explode(F.array(F.lit(1), F.lit(None), F.lit(9))).alias("line"))
+    families = e.select(F.lit(0).alias("all"), F.col("event_type").alias("family")).distinct()  # a row for each of a few families
+    wanted = e.select(F.lit(0).alias("all"), F.col("user_id").alias("bout")).distinct().join(families, "all").select("bout", "family").select("*", F.explode(F.array(F.lit(1), F.lit(None), F.lit(9))).alias("line"))
     return quotes.join_quotes(wanted, q, ["bout", "family", "line"], cutoff())
 
 
@@ -319,13 +319,30 @@ def settlements(spark, d):
     w = F.when(F.col("l_linestatus") == "O", "a").otherwise("b")
     sec = F.when(l % 3 != 0, (F.col("l_quantity") * 15).cast("int"))
     off = F.col("l_discount") > 0.09
-    s = lambda family, outcome, line=None, exact="under": outcomes.settle(F.lit(family), F.lit(outcome), F.lit(line).cast("double"), c, m, w, sec, F.lit(3), off, exact)
-    return table(spark, d, "lineitem").select(
+    s = lambda family, outcome, line=None, exact="under": outcomes.settle(family, F.lit(outcome), F.lit(line).cast("double"), *map(F.col, ("c", "m", "w", "sec")), F.lit(3), F.col("off"), exact)
+    facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.alias("c"), m.alias("m"), w.alias("w"), sec.alias("sec"), off.alias("off"))
+    return facts.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("moneyline", "fighter_a").alias("moneyline"), s("goes_distance", "goes_distance").alias("distance"),
         s("totals", "over", 1.5).alias("over_1_5"), s("totals", "under", 1.5, "void").alias("under_1_5_void"),
     )
 
 
+@query(f"""WITH {_FACTS}, t AS (SELECT *, CASE WHEN c = 'draw' THEN true WHEN c = 'decisive' AND m IS NOT NULL THEN m = 'decision' END AS whole FROM f)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN off OR c = 'no_contest' THEN 'VOID' WHEN whole THEN 'LOSS' WHEN NOT whole AND sec IS NOT NULL THEN CASE WHEN sec > 300 AND sec <= 600 THEN 'WIN' ELSE 'LOSS' END ELSE 'UNRESOLVED' END AS round_2,
+  CASE WHEN off OR c = 'no_contest' THEN 'VOID' WHEN whole THEN 'WIN' WHEN NOT whole AND sec IS NOT NULL THEN 'LOSS' ELSE 'UNRESOLVED' END AS distance,
+  CASE WHEN off OR c = 'no_contest' THEN 'VOID' WHEN c = 'draw' THEN 'LOSS' WHEN c = 'decisive' AND m IS NOT NULL THEN CASE WHEN w = 'a' AND m = 'ko_tko' THEN 'WIN' ELSE 'LOSS' END ELSE 'UNRESOLVED' END AS a_ko_tko,
+  CASE WHEN off OR c = 'no_contest' THEN 'VOID' WHEN c = 'draw' THEN 'WIN' WHEN c = 'decisive' AND m IS NOT NULL THEN 'LOSS' ELSE 'UNRESOLVED' END AS draw FROM t""")
+def exact_settlements(spark, d):
+    """Exact rounds, and fighters by method."""
+    l, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    c = F.when(flag == "A", "decisive").when(flag == "N", "draw").otherwise(F.when(l % 2 == 0, "no_contest").otherwise("decisive"))
+    m = F.when(flag == "A", F.when(l % 2 == 0, "decision").otherwise("ko_tko")).when(flag == "R", "submission")
+    facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.alias("c"), m.alias("m"), F.when(F.col("l_linestatus") == "O", "a").otherwise("b").alias("w"), F.when(l % 3 != 0, (F.col("l_quantity") * 15).cast("int")).alias("sec"), (F.col("l_discount") > 0.09).alias("off"))
+    s = lambda family, outcome: outcomes.settle(family, F.lit(outcome), F.lit(None).cast("double"), *map(F.col, ("c", "m", "w", "sec")), F.lit(3), F.col("off"))
+    return facts.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("exact_round", "round_2").alias("round_2"), s("exact_round", "distance").alias("distance"), s("fighter_by_method", "a_ko_tko").alias("a_ko_tko"), s("fighter_by_method", "draw").alias("draw"))
+
+
 @query(f"WITH {BETS_SQL} SELECT settlement, CAST(count(*) AS BIGINT) AS n, round(sum(profit), 4) AS profit FROM bets GROUP BY settlement")
 def flat_profit(spark, d):
     return bets(spark, d).groupBy("settlement").agg(F.count("*").alias("n"), r(F.sum(odds.unit_profit(F.col("settlement"), F.col("price"))), 4).alias("profit"))
@@ -525,11 +542,9 @@ def atom_universe(spark, d):
     {'f': 'fighter_by_method', 'o': CASE WHEN s IS NULL THEN 'draw' ELSE s || '_' || c END}, {'f': 'exact_round', 'o': CASE WHEN i IS NULL THEN 'distance' ELSE 'round_' || CAST(i // 2 + 1 AS BIGINT) END}, {'f': 'totals_1.5', 'o': CASE WHEN i <= 2 THEN 'under' ELSE 'over' END}, {'f': 'totals_2.5', 'o': CASE WHEN i <= 4 THEN 'under' ELSE 'over' END}]) AS x FROM f)
   SELECT k, x.f AS family, x.o AS outcome, round(sum(w) / 48, 9) AS probability FROM l GROUP BY ALL""")
 def derived_markets(spark, d):
-    atoms = markets.atoms(spark, 3).withColumn("p", F.when(F.col("cause") == "decision", 4.0).otherwise(1.0) / 48)
-    one = atoms.groupBy().agg(F.collect_list(F.struct("side", "cause", "interval", "p")).alias("a")).first().a  # 39 atoms
-    literal = F.array(*[F.struct(F.lit(x.side).cast("string").alias("side"), F.lit(x.cause).alias("cause"), F.lit(x.interval).cast("int").alias("interval"), F.lit(x.p).alias("p")) for x in one])
-    fine = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.inline(literal))
-    return markets.derive(fine, ["k"]).select("k", "family", "outcome", r("probability", 9).alias("probability"))
+    weights = [4.0 if cause == "decision" else 1.0 for _, cause, _ in markets.atom_list(3)]
+    fine = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array(*[F.lit(w / 48) for w in weights]).alias("p"))
+    return markets.derive_row(fine, ["k"], F.col("p"), 3).select("k", "family", "outcome", r("probability", 9).alias("probability"))
 
 
 # ---- policy and ledgers -----------------------------------------------------------------------------------------------------------
