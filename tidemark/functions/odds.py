@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACTIONABLE_EV, STRONG_EV, EXACT_ROUND_EV = 0.05, 0.10, 0.10
+CONFIRMED_SURE, EXACT_ROUND_SURE = 0.70, 0.75
 
 
 def valid_probability(p: Column) -> Column:
@@ -72,6 +73,14 @@ def price_targets(p50: Column, p25: Column, family: Column) -> Column:
     return F.when(valid_probability(p50) & valid_probability(p25) & (p25 <= p50), out)
 
 
+def price_class(p50: Column, p25: Column, family: Column, gates: Column, qualified: Column, offered: Column, sure: Column) -> Column:
+    """confirmed_value, price_target or no_bet: the last if a gate fails, or an offer is below the actionable price or too unsure (P(EV > 0))."""
+    fair = gates & qualified
+    least = F.when(family == "exact_round", EXACT_ROUND_SURE).otherwise(CONFIRMED_SURE)
+    met = (offered >= price_targets(p50, p25, family)["actionable"]) & (sure >= least)
+    return F.when(~F.coalesce(fair, F.lit(False)), "no_bet").when(offered.isNull(), "price_target").when(F.coalesce(met, F.lit(False)), "confirmed_value").otherwise("no_bet")
+
+
 def sigmoid(x: Column) -> Column:
     """Without overflow on either side."""
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))

@@ -55,18 +55,20 @@ def totals(stream: DataFrame, label: str) -> DataFrame:
 
 
 def lifecycle(stream: DataFrame, key: str, time: str, state: str) -> DataFrame:
-    """(key, time, before, state, allowed) of each row in the order of its batch; the last allowed state is kept for each key."""
+    """(key, time, before, state, allowed) of each row, in time order within a micro-batch; the last allowed state is kept for each key.
+
+    A key's rows of one micro-batch are sorted together, so the source's rate bounds them (maxFilesPerTrigger and the like).
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get[0] if held.exists else None
-        for frame in frames:
-            out = []
-            for at, new in frame.sort_values(time, kind="stable")[[time, state]].itertuples(index=False):
-                ok = now is None or now == new or new in MOVES.get(now, ())
-                out.append((k[0], at, now, new, ok))
-                now = new if ok else now
-            yield pd.DataFrame(out, columns=[key, "at", "before", "state", "allowed"])
+        out = []
+        for at, new in pd.concat(list(frames)).sort_values(time, kind="stable")[[time, state]].itertuples(index=False):
+            ok = now is None or now == new or new in MOVES.get(now, ())
+            out.append((k[0], at, now, new, ok))
+            now = new if ok else now
+        yield pd.DataFrame(out, columns=[key, "at", "before", "state", "allowed"])
         if now is not None:
             held.update((now,))
 
