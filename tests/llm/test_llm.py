@@ -45,7 +45,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert rows(queries.QUERIES[name](spark, SF).toArrow()) == rows(con.sql(queries.ORACLE_SQL[name]).to_arrow_table())
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 #: Separators of words, everywhere in this package: space and U+0009 to U+000D.
 SPACES = " \\t\\n\\x0B\\f\\r"
@@ -90,3 +94,58 @@ def tidied(spark: SparkSession) -> Iterator[None]:
 def bound_arrow(spark: SparkSession, size: str = "8m") -> None:
     """Bounds an Arrow batch by bytes, as a count of rows alone doesn't bound very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def running_total(df: DataFrame, key: str | None, order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """df with the running sum of `value` (long) per key in this order, as the column `out`; written to the shared folder.
+
+    Rows are dealt by ranges of key and order, so a key with any share of all rows is spread over tasks. Each task sums
+    its own rows; what a key has gathered in the ranges before is one number for each range, the only thing that the
+    driver sees. key: a long column without nulls, or None for one sequence of all rows.
+    """
+    part, last = fresh(df, "part", "last")
+    by = [*([F.col(key)] if key else []), *order]
+    spread = df.withColumn(out, value.cast("long")).repartitionByRange(*by).sortWithinPartitions(*by)
+    names = spread.columns
+    bound_arrow(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        held, before, carried = None, None, 0
+
+        def flagged(batch: pa.RecordBatch, ended: bool) -> pa.RecordBatch:
+            n = batch.num_rows
+            flags = np.zeros(n, bool)
+            flags[-1] = ended
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, number, np.int32)), pa.array(flags)], names=[*names, part, last])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = np.cumsum(batch.column(len(names) - 1).to_numpy(zero_copy_only=False))
+            keys = batch.column(names.index(key)).to_numpy(zero_copy_only=False) if key else np.zeros(len(sums), np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            base = np.where(starts > 0, sums[starts - 1], 0)
+            if before is not None and keys[0] == before:
+                base[0] -= carried
+            sums = sums - np.repeat(base, np.diff(np.append(starts, len(sums))))
+            before, carried = keys[-1], sums[-1]
+            if held is not None:
+                yield flagged(held, False)
+            held = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums)], names=names)
+        if held is not None:
+            yield flagged(held, True)
+
+    schema = StructType([*spread.schema.fields, StructField(part, IntegerType()), StructField(last, BooleanType())])
+    local = materialise(spread.mapInArrow(run, schema), "running")
+    ends = local.where(F.col(last)).select(part, F.col(key) if key else F.lit(0).cast("long"), out).orderBy(part).collect()  # one row a range
+    moved, so_far = [], None
+    for (_, k, total), (following, *_) in zip(ends, ends[1:], strict=False):
+        so_far = (k, total + (so_far[1] if so_far and so_far[0] == k else 0))
+        moved.append((following, *so_far))
+    if not moved:
+        return local.drop(part, last)
+    at, of, more = fresh(local, "at", "of", "more")
+    before = df.sparkSession.createDataFrame(moved, f"`{at}` int, `{of}` long, `{more}` long")
+    same = (F.col(part) == F.col(at)) & ((F.col(key) == F.col(of)) if key else F.lit(True))
+    return local.join(F.broadcast(before), same, "left").withColumn(out, F.col(out) + F.coalesce(more, F.lit(0))).select(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, host_rules, ngram_jaccard, pii_feistel, quality_classifier, secret_scan, spaced_seeds, token_counts, url_filters
+from tidemark.llm import byte_bpe, chat_format, chunked_bpe, host_rules, importance_resampling, ngram_jaccard, pii_feistel, prefix_trie, quality_classifier, secret_scan, spaced_seeds, token_counts, url_filters
 from tidemark.llm.common import table
 
 
@@ -165,6 +165,79 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: crc32 of a list of bytes (BIGINT), over the table of its 256 steps.
+CRC_SQL = """crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+)"""
+
+
+def crc_of(bytes_list: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_list}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = f"""
+WITH {CRC_SQL}, said AS (
+  SELECT conv_id AS c, octet_length(encode(coalesce(text, ''))) AS bytes, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (SELECT c, digest, bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS pos FROM said),
+convs AS (SELECT c, {crc_of("list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM (SELECT DISTINCT c FROM placed), crc),
+heads AS (SELECT k.c, p.pos AS depth, digest, bytes FROM convs k JOIN placed p ON p.c = k.c - k.c % 5 AND p.pos <= k.h),
+taken AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+turns AS (
+  SELECT * FROM heads UNION ALL
+  SELECT p.c, p.pos - k.h + coalesce(n, 0), digest, bytes FROM placed p JOIN convs k ON p.c = k.c AND p.pos > k.h LEFT JOIN taken ON taken.c = p.c
+), steps AS (
+  SELECT c, 0 AS depth, '' AS key, '' AS up, 0 AS bytes FROM convs UNION ALL
+  SELECT c, depth, sha256(key), sha256(substr(key, 1, length(key) - 32)), bytes
+  FROM (SELECT c, depth, bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth) AS key FROM turns)
+), lasts AS (SELECT c, max(depth) AS n FROM steps GROUP BY c),
+nodes AS (
+  SELECT depth, key, any_value(CASE WHEN depth = 1 THEN '' ELSE up END) AS up, min(s.c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(s.c::VARCHAR, ',' ORDER BY s.c) FILTER (WHERE n = depth), '')) AS ends_sha256, bool_and(n = depth) AS leaf
+  FROM steps s JOIN lasts USING (c) GROUP BY depth, key
+), folded AS (
+  SELECT a.depth, a.key, sum((b.n_convs - 1) * b.bytes) AS saved, sum(b.leaf::INT) AS leaves, sum((b.depth = a.depth + 1)::INT) AS kids
+  FROM nodes b JOIN steps s ON s.c = b.conv_id AND s.depth <= b.depth JOIN nodes a ON a.depth = s.depth AND a.key = s.key GROUP BY ALL
+)
+SELECT m.conv_id, m.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs, kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM nodes m JOIN folded f ON m.depth = f.depth AND m.key = f.key LEFT JOIN nodes p ON p.depth = m.depth - 1 AND p.key = m.up
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+OP12_SQL = rf"""
+WITH {CRC_SQL}, docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), found AS (
+  SELECT r, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM docs UNION ALL
+  SELECT NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), words AS (
+  SELECT w, {crc_of("list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::BIGINT, 2))::BIGINT)")} % 10000 AS b FROM (SELECT DISTINCT w FROM found), crc
+), counted AS (SELECT r, b, count(*) AS n FROM found JOIN words USING (w) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (r IS NULL), 0) AS t FROM counted GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS g FROM sums),
+weighed AS (SELECT r, sum(n) AS n, sum(n * g) AS w FROM counted JOIN gains USING (b) WHERE r IS NOT NULL GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight,
+    (coalesce(w, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (r)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS k, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= able * 10 // 100 THEN k END::BIGINT AS rank FROM ranked
+"""
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id",), decoded=True, text_ids=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("decimal_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
@@ -176,5 +249,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_chunked_bpe": op13_chunked_bpe,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_quality_rules": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_importance_resampling": OP12_SQL}
