@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bound_arrow
+from tidemark.llm.common import bound_arrow, slices
 
 #: Code points under the rolling hash, and the multiplier of its polynomial.
 WINDOW, FACTOR = 16, 0x9E3779B1
@@ -209,18 +209,6 @@ class Chunked:
 _loaded: dict[tuple, Chunked] = {}
 
 
-def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Slices of at most about `most` code points; a longer text stands alone."""
-    start = held = 0
-    for k, size in enumerate(sizes):
-        if held and held + size > most:
-            yield start, k
-            start, held = k, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = (), decoded: bool = False, text_ids: bool = False, bits: int = 9, least: int = 128, chars: int = 1 << 19) -> DataFrame:
     """The columns `keep`, then n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (string) and decimal_ids (string, joined by spaces).
 
@@ -244,7 +232,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
         model = _loaded[key]
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            ids = [x for a, b in _groups([len(t) for t in texts], chars) for x in model.encode(texts[a:b])]
+            ids = [x for a, b in slices([len(t) for t in texts], chars) for x in model.encode(texts[a:b])]
             columns = [batch.column(k) for k in range(len(keep))]
             columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decoded:

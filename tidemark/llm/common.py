@@ -96,6 +96,18 @@ def bound_arrow(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of at most about `most` code points; a longer text stands alone."""
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def running_total(df: DataFrame, key: str | None, order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """df with the running sum of `value` (long) per key in this order, as the column `out`; written to the shared folder.
 

@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow, materialise, running_total, tidied
+from tidemark.llm.common import bound_arrow, materialise, running_total, slices, tidied
 
 #: Bytes to word bytes: A-Z lower-cased; digits, a-z and all beyond ASCII stay; the rest separates.
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
+#: Code points of a block's texts, at most but for a longer single text.
+BLOCK = 1 << 20
+
 
 def features_of(text: str | None, longest: int = 1) -> Counter:
     """Counts of all runs of 1 to `longest` consecutive words, joined by one space, as UTF-8."""
@@ -52,18 +55,20 @@ def count_blocks(df: DataFrame, buckets: int, longest: int = 1, text: str = "tex
     bound_arrow(df.sparkSession)
     kind = df.schema[keep].dataType.simpleString() if keep else "int"
 
+    def block(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        counts = [features_of(t, longest) for t in texts]
+        pointers, indices, values = csr(counts, buckets)
+        n = [sum(c.values()) for c in counts]
+        words = n if longest == 1 else [sum(v for w, v in c.items() if b" " not in w) for c in counts]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids), pa.array([words], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))]
+        arrays += [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((pointers, "<i8"), (indices, "<u4"), (values, "<u4"))]
+        return pa.RecordBatch.from_arrays(arrays, names=["ids", "n_words", "n_features", "pointers", "indices", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            counts = [features_of(t, longest) for t in batch.column(1).to_pylist()]
-            pointers, indices, values = csr(counts, buckets)
-            n = [sum(c.values()) for c in counts]
-            words = n if longest == 1 else [sum(v for w, v in c.items() if b" " not in w) for c in counts]
-            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            arrays = [ids, pa.array([words], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))]
-            arrays += [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((pointers, "<i8"), (indices, "<u4"), (values, "<u4"))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["ids", "n_words", "n_features", "pointers", "indices", "counts"])
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(t or "") for t in texts], BLOCK):
+                yield block(pa.concat_arrays([batch.column(0).slice(a, b - a)]), texts[a:b])
 
     schema = f"ids array<{kind}>, n_words array<bigint>, n_features array<bigint>, pointers binary, indices binary, counts binary"
     return df.select(F.col(keep) if keep else F.lit(0), df[text]).mapInArrow(run, schema)
