@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from tidemark.llm.common import bound_arrow, slices
 WINDOW, FACTOR = 16, 0x9E3779B1
 #: Below this code point nothing composes, and lower case keeps letters letters but for U+0130.
 PLAIN = "\u0250"
+#: Punctuation that closes a word.
+CLOSING = b".,;:!?"
 
 
 def chunk_starts(codes: np.ndarray, bits: int, least: int) -> list[int]:
@@ -80,6 +82,8 @@ class Chunked:
         self.bits, self.least = bits, max(least, WINDOW + 1)
         self.chunks, self.words, self.older, self.cached_words = Generations(cache_bytes), {}, {}, cached_words
         self.names: dict[int, str] = {k: v for v, k in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.token_at = [self.names.get(k, "") for k in range(max(self.names) + 1)]
+        self.decimal_at = [str(k) for k in range(len(self.token_at))]
         self.encoded_chunks = self.widened = 0
         for gap in " \t\n\r\v\f":
             if self._ids(f"one{gap}two") != self._ids("one") + self._ids("two"):
@@ -89,7 +93,7 @@ class Chunked:
         self.ends = None
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
             if self._ids("\u00c9t\u00c9, Word") == self._ids("\u00e9t\u00e9") + self._ids(",") + self._ids("word"):
-                self.ends = np.array([self.names.get(k, "").endswith(suffix) for k in range(max(self.names) + 1)])
+                self.ends = np.array([t.endswith(suffix) for t in self.token_at])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -107,49 +111,63 @@ class Chunked:
         if len(self.words) > self.cached_words:
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
-        parts: dict[bytes, tuple[str, ...]] = {}
-        for w in words:
-            if w not in known:
-                if (ids := older.get(w)) is not None:
-                    known[w] = ids
-                else:
-                    parts[w] = self._parts(w)
-        new = {p for some in parts.values() for p in some}
-        ids_of = {p: ids for p in new if (ids := known.get(p.encode()) or older.get(p.encode())) is not None}
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        for w in words.difference(known):
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                parts[w] = self._parts(w)
         letters, others = [], []
-        for p in new:
-            if p not in ids_of:
-                (letters if self.ends is not None and p.isalpha() and max(p) < PLAIN and "\u0130" not in p else others).append(p)
+        for p in set(chain.from_iterable(parts.values())).difference(known):
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif self.ends is not None and (p.isalpha() if p.isascii() else self._letters(p.decode())):
+                letters.append(p)
+            else:
+                others.append(p)
         for a in range(0, len(letters), 2048):
             some = letters[a : a + 2048]
-            ids = np.array(self._ids(" ".join(some)), "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self._ids(b" ".join(some).decode()), "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(some):
                 raise ValueError("a word of letters isn't one piece in this tokenizer")
             whole = ids.tobytes()
-            ids_of.update((p, whole[4 * x : 4 * y]) for p, (x, y) in zip(some, pairwise([0, *stops.tolist()]), strict=True))
+            known.update(zip(some, (whole[x:y] for x, y in pairwise([0, *stops])), strict=True))
         for a in range(0, len(others), 2048):
-            ids_of.update(zip(others[a : a + 2048], self._all(others[a : a + 2048]), strict=True))
-        for p in new:
-            known[p.encode()] = ids_of[p]
+            some = others[a : a + 2048]
+            known.update(zip(some, self._all([p.decode() for p in some]), strict=True))
         for w, some in parts.items():
-            known[w] = ids_of[some[0]] if len(some) == 1 else ids_of[some[0]] + ids_of[some[1]]
+            if len(some) > 1 or some[0] != w:
+                known[w] = b"".join(map(known.__getitem__, some))
         return known
 
-    def _parts(self, word: bytes) -> tuple[str, ...]:
+    @staticmethod
+    def _letters(s: str) -> bool:
+        return s.isalpha() and max(s) < PLAIN and "\u0130" not in s
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        if self.ends is None or b"<|" in word:
+            return (word,)
+        if word.isascii():
+            low = word.lower()
+            stem = low.rstrip(CLOSING)
+            return (stem, low[len(stem) :]) if len(stem) < len(low) and stem[-1:].isalpha() else (low,)
         s = word.decode()
-        if self.ends is None or b"<|" in word or not word.isascii() and (max(s) >= PLAIN or "\u0130" in s):
-            return (s,)
+        if max(s) >= PLAIN or "\u0130" in s:
+            return (word,)
         s = s.lower()
-        stem = s.rstrip(".,;:!?")
-        return (stem, s[len(stem) :]) if 0 < len(stem) < len(s) and stem[-1].isalpha() else (s,)
+        stem = s.rstrip(CLOSING.decode())
+        return (stem.encode(), s[len(stem) :].encode()) if len(stem) < len(s) and stem[-1:].isalpha() else (s.encode(),)
 
     def _learn_chunks(self, chunks: set[bytes]) -> dict[bytes, tuple | None]:
         """Of each chunk (ids between its outer words, its head to the end of the first whole word, its tail from the last whole one, their ids); None if it has no whole words."""
         known = {c: found[0] for c in chunks if (found := self.chunks[c]) is not None}
         new = {c: c.split() for c in chunks if c not in known}
         self.encoded_chunks += len(new)
-        ids_of = self._learn_words({w for words in new.values() for w in words[1:-1]})
+        met: set[bytes] = set()
+        for words in new.values():
+            met.update(words[1:-1])
+        ids_of = self._learn_words(met)
         for c, words in new.items():
             if len(words) < 4:
                 made = None
@@ -203,7 +221,7 @@ class Chunked:
     def decode(self, ids: bytes) -> str:
         """As the library decodes without skipping special tokens; without a decoder it puts a space between tokens."""
         numbers = np.frombuffer(ids, "<u4").tolist()
-        return " ".join(map(self.names.__getitem__, numbers)) if self.joined_by_space else self.tokenizer.decode(numbers, skip_special_tokens=False)
+        return " ".join(map(self.token_at.__getitem__, numbers)) if self.joined_by_space else self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
 _loaded: dict[tuple, Chunked] = {}
@@ -238,7 +256,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
             if decoded:
                 columns.append(pa.array([model.decode(x) for x in ids], pa.string()))
             if text_ids:
-                columns.append(pa.array([" ".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.string()))
+                columns.append(pa.array([" ".join(map(model.decimal_at.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
     return df.select(*keep, df[text]).mapInArrow(run, schema)
