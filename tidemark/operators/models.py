@@ -1,6 +1,7 @@
-"""Models that Spark's own library doesn't have in this form: tied to swaps, fitted per fold in parallel, without scipy.
+"""Models that Spark's own library doesn't have in this form: tied to swaps, fitted per fold, without scipy.
 
-A fold's design matrix is event-sized, not corpus-sized: it is one group of one task; folds run side by side.
+Fits over tables go through `newton`, one aggregation a step for all folds. `ridge` and `fit_softmax` are the same models
+for arrays in memory.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import newton
+
 
 def ridge(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
     """L2 logistic regression without intercept on standardised differences, each row also swapped; Newton's method.
@@ -35,15 +37,21 @@ def ridge(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.n
     return w / scale
 
 
-def fit_ridge_by(rows: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0) -> DataFrame:
-    """(fold, weights, n), one fit per fold."""
-    kind = rows.schema[fold].dataType.simpleString()
+def _folds(rows: DataFrame, fold: str) -> list:
+    """The folds, few beside their rows."""
+    return [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        w = ridge(frame[list(features)].to_numpy(float), frame[label].to_numpy(float), c)
-        return pd.DataFrame({fold: [key[0]], "weights": [w.tolist()], "n": [len(frame)]})
 
-    return rows.select(fold, *features, label).groupBy(fold).applyInPandas(run, f"`{fold}` {kind}, weights array<double>, n long")
+def fit_ridge_by(rows: DataFrame, fold: str, features: Sequence[str], label: str, c: float = 1.0) -> DataFrame:
+    """(fold, weights, n), one fit per fold, all folds at once; rows without a fold are left out."""
+    kind, rows = rows.schema[fold].dataType.simpleString(), rows.where(F.col(fold).isNotNull())
+    folds = _folds(rows, fold)
+    schema = f"`{fold}` {kind}, weights array<double>, n long"
+    if not folds:
+        return rows.sparkSession.createDataFrame([], schema)
+    wide = rows.select(fold, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label))
+    theta, n = newton.fit_ridge(wide, features, label, newton.fold_weights(fold, folds), len(folds), c)
+    return rows.sparkSession.createDataFrame([(k, t.tolist(), int(m)) for k, t, m in zip(folds, theta, n, strict=True)], schema)
 
 
 def win_probability(weights: Column, features: Column) -> Column:
@@ -138,15 +146,15 @@ def fit_softmax(x: np.ndarray, classes: np.ndarray, n_classes: int, c: float = 1
 
 
 def fit_hazards_by(periods: DataFrame, fold: str, features: Sequence[str], klass: str, classes: Sequence[str], c: float = 1.0) -> DataFrame:
-    """Competing-risks softmax over person periods, one fit per fold: (fold, theta as rows of features by classes). A class without rows is an error."""
-    kind = periods.schema[fold].dataType.simpleString()
-    place = {k: i for i, k in enumerate(classes)}
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        codes = frame[klass].map(place).to_numpy()
-        if len(set(codes)) < len(place):
-            raise ValueError(f"fold {key[0]} lacks a class")
-        x = np.column_stack([np.ones(len(frame)), frame[list(features)].to_numpy(float)])
-        return pd.DataFrame({fold: [key[0]], "theta": [fit_softmax(x, codes, len(place), c).tolist()]})
-
-    return periods.select(fold, *features, klass).groupBy(fold).applyInPandas(run, f"`{fold}` {kind}, theta array<array<double>>")
+    """Competing-risks softmax over person periods with free parameters for each class, all folds at once: (fold, theta as rows of a constant and the features by classes). A fold without a class is an error."""
+    kind, rows = periods.schema[fold].dataType.simpleString(), periods.where(F.col(fold).isNotNull())
+    folds = _folds(rows, fold)
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col(klass)).cast("int") - 1
+    wide = rows.select(fold, *[F.col(f).cast("double").alias(f) for f in features], code.alias("__class"))
+
+    def design(columns: dict[str, np.ndarray], _: int) -> list[tuple[int, np.ndarray] | None]:
+        x = np.column_stack([np.ones(len(columns["__class"])), *(columns[f] for f in features)])
+        return [(k, x) for k in range(len(classes))]
+
+    theta = newton.fit_softmax(wide, "__class", newton.fold_weights(fold, folds), len(folds), len(classes), len(classes), 1 + len(features), design, c)
+    return rows.sparkSession.createDataFrame([(k, t.T.tolist()) for k, t in zip(folds, theta, strict=True)], f"`{fold}` {kind}, theta array<array<double>>")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import newton
+
 
 def expanding_folds(cards: DataFrame, card: str, start: str, cutoff: str) -> DataFrame:
     """Each card is a test fold once; it trains on the other cards that started before its cutoff: test_card, n_train, last_train.
@@ -35,10 +40,24 @@ def bootstrap(blocks: DataFrame, place: str, n_blocks: int, replicates: int, sta
     return hashed_draws(blocks, place, n_blocks, replicates).join(blocks, place).groupBy("rep").agg(statistic.alias("value"))
 
 
-def interval(values: DataFrame, value: str = "value") -> DataFrame:
-    """Linear percentiles of the replicates."""
+def refits(rows: DataFrame, place: str, n_blocks: int, replicates: int, features: Sequence[str], label: str, c: float = 1.0) -> DataFrame:
+    """(rep, weights, n): a ridge fit for each replicate of `hashed_draws`, as if the rows of its blocks were copied as often as drawn.
+
+    No row is copied: how often a block was drawn is its rows' weight, and one aggregation a step serves all replicates.
+    The draws are n_blocks * replicates numbers, both parameters.
+    """
+    draws = np.zeros((n_blocks, replicates))
+    for rep, _, at in hashed_draws(rows, place, n_blocks, replicates).collect():
+        draws[at, rep] += 1
+    theta, n = newton.fit_ridge(rows.select(place, label, *features), features, label, newton.drawn_weights(place, draws), replicates, c)
+    return rows.sparkSession.createDataFrame([(k, t.tolist(), int(m)) for k, (t, m) in enumerate(zip(theta, n, strict=True))], "rep int, weights array<double>, n long")
+
+
+def interval(values: DataFrame, value: str = "value", **more: Column) -> DataFrame:
+    """Linear percentiles of the replicates, and more aggregates of them."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return values.agg(p.alias("p"), F.count(value).alias("n")).select(*[F.col("p")[k].alias(f"p{x:02d}") for k, x in enumerate((5, 25, 50, 75, 95))], "n")
+    found = values.agg(p.alias("p"), F.count(value).alias("n"), *[c.alias(k) for k, c in more.items()])
+    return found.select(*[F.col("p")[k].alias(f"p{x:02d}") for k, x in enumerate((5, 25, 50, 75, 95))], "n", *more)
 
 
 def leaks(train: DataFrame, test: DataFrame, card: str, observed: str, cutoff: str) -> DataFrame:

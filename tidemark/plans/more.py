@@ -149,11 +149,14 @@ def prior_calibration(spark, d):
 
 @query(None)
 def bootstrap_refits(spark, d):
-    """A refit per replicate of resampled blocks, then the interval of one weight."""
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 20).cast("int").alias("place"), *[F.get("embedding", k).cast("double").alias(f"x{k}") for k in range(4)], (F.col("label") % 2).alias("y"))
-    drawn = resample.hashed_draws(e, "place", 20, 30).join(e, "place")
-    fits = models.fit_ridge_by(drawn, "rep", [f"x{k}" for k in range(4)], "y")
-    return resample.interval(fits.select(F.round(F.get("weights", 0), 6).alias("value")))
+    """A refit for each of 30 replicates of 20 resampled blocks, all in one pass with draws as weights; then the interval of a row's logit, and the share of replicates in which it is positive."""
+    e = table(spark, d, "embeddings")
+    names = [f"x{k}" for k in range(e.select(F.size("embedding")).first()[0])]
+    rows = e.select((F.col("vec_id") % 20).cast("int").alias("place"), *[F.get("embedding", k).cast("double").alias(x) for k, x in enumerate(names)], (F.col("label") % 2).cast("int").alias("y"))
+    fits = resample.refits(rows, "place", 20, 30, names, "y")
+    logit = F.aggregate(F.zip_with("weights", F.array(*map(F.lit, [1.0] * len(names))), lambda w, x: w * x), F.lit(0.0), lambda s, x: s + x)
+    values = fits.select(F.round(logit, 6).alias("value"))
+    return resample.interval(values, share_positive=F.avg((F.col("value") > 0).cast("double")))
 
 
 @query("""SELECT count(*) AS violations FROM orders WHERE month(o_orderdate) = 6 OR o_orderdate > TIMESTAMP '2000-01-01'""")

@@ -784,8 +784,9 @@ def ridge_folds(spark, d):
     from tidemark.operators import models
 
     e = table(spark, d, "embeddings")
-    rows = e.select((F.col("vec_id") % 5).alias("fold"), *[F.get("embedding", k).cast("double").alias(f"x{k}") for k in range(6)], (F.col("label") % 2).alias("y"))
-    return models.fit_ridge_by(rows, "fold", [f"x{k}" for k in range(6)], "y").select("fold", "n", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
+    names = [f"x{k}" for k in range(e.select(F.size("embedding")).first()[0])]
+    rows = e.select((F.col("vec_id") % 5).alias("fold"), *[F.get("embedding", k).cast("double").alias(x) for k, x in enumerate(names)], (F.col("label") % 2).alias("y"))
+    return models.fit_ridge_by(rows, "fold", names, "y").select("fold", "n", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
 
 
 @query(None)
