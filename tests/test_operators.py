@@ -87,13 +87,6 @@ def test_half_rounds_are_closed_on_the_right(spark):
     assert [one(spark, outcomes.half_round(F.lit(e), F.lit(3))) for e in (0, 1, 150, 151, 300, 900)] == [0, 0, 0, 1, 1, 5]
 
 
-def test_rating_period_is_simultaneous():
-    games = pd.DataFrame({"period": [1, 1], "a": [1, 2], "b": [2, 3], "score": [1.0, 1.0]})
-    out = ratings.fold(games).set_index("player")
-    assert out.rating[1] > 1500 > out.rating[3] and math.isclose(out.rating[2], 1500, abs_tol=1e-9)
-    assert (out.deviation < 350).all() and (ratings.fold(pd.concat([games.assign(period=p) for p in range(400)])).deviation >= 50).all()
-
-
 def test_ambiguous_prices_are_refused(spark):
     schema = "k int, quote_id long, observed_at timestamp_ntz, price double, availability string, lifecycle string, eligible boolean, replacement boolean, ambiguous boolean"
     t = datetime(2024, 1, 1)

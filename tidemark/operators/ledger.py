@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again, so that its rows don't change under later steps."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only where none is set (tests) is a local one made."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return top
+
+
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Written to the shared folder and read again, so that its rows don't change under later steps; in folders by a column, if one is named."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    names = [c for c in df.columns if c != by] + [by] * bool(by)
+    return df.sparkSession.read.schema(df.select(*names).schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `stored` gave, when nothing reads them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for top in {re.match(r"(.*/[^/]+-[0-9a-f]{32})/", f)[1] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def to_append(ledger: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import markets, newton
+from tidemark.operators import markets, newton, ratings
 from tidemark.plans.queries import query, r
 from tidemark.plans.tables import table
 
@@ -63,3 +63,43 @@ def tied_decisions(spark, d):
     return mean.select("yr", *[r(p[k]).alias(n) for k, n in enumerate(("draw", "a", "b"))])
 
 
+
+
+def games(spark, d):
+    """The first two lines of an order as a game of their suppliers, its year as the period."""
+    l = table(spark, d, "lineitem")
+    a = l.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("a"), F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.5).otherwise(0.0).alias("score"))
+    b = l.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("b"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("period"))
+    return a.join(b, "l_orderkey").join(o, "l_orderkey").select("period", "a", "b", "score")
+
+
+_RATED = """p{k} AS MATERIALIZED (SELECT * FROM sides WHERE period = {year}),
+u{k} AS MATERIALIZED (
+  SELECT player, r0, d0, n0, w0, r0 + ln(10) / 400 * d1 * d1 * step AS r1, d1, n0 + n AS n1, w0 + w AS w1 FROM (
+    SELECT player, r0, d0, n0, w0, greatest(50.0, sqrt(1 / (1 / (d0 * d0) + pow(ln(10) / 400, 2) * sum(g * g * e * (1 - e))))) AS d1, sum(g * (score - e)) AS step, count(*) AS n, count(*) FILTER (score <> 0.5) AS w
+    FROM (SELECT *, 1 / (1 + pow(10, -g * (r0 - ro) / 400)) AS e FROM (
+      SELECT p.player, score, coalesce(s.r, 1500.0) AS r0, coalesce(s.d, 350.0) AS d0, coalesce(s.n, 0) AS n0, coalesce(s.w, 0) AS w0, coalesce(o.r, 1500.0) AS ro,
+        1 / sqrt(1 + 3 * pow(ln(10) / 400 * coalesce(o.d, 350.0) / pi(), 2)) AS g
+      FROM p{k} p LEFT JOIN s{before} s ON s.player = p.player LEFT JOIN s{before} o ON o.player = p.other)) GROUP BY player, r0, d0, n0, w0)
+), s{k} AS MATERIALIZED (SELECT player, r1 AS r, d1 AS d, n1 AS n, w1 AS w FROM u{k} UNION ALL SELECT * FROM s{before} WHERE player NOT IN (SELECT player FROM u{k}))"""
+YEARS = range(1995, 2003)
+RATED = """WITH games AS (
+  SELECT a.l_suppkey AS a, b.l_suppkey AS b, CASE a.l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 0.5 ELSE 0.0 END AS score, year(o_orderdate) AS period
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_suppkey <> b.l_suppkey JOIN orders ON o_orderkey = a.l_orderkey
+), sides AS (SELECT period, a AS player, b AS other, score FROM games UNION ALL SELECT period, b, a, 1 - score FROM games),
+s0 AS (SELECT NULL::BIGINT AS player, 0.0::DOUBLE AS r, 0.0::DOUBLE AS d, 0::BIGINT AS n, 0::BIGINT AS w WHERE false), """ + ", ".join(_RATED.format(k=k, before=k - 1, year=y) for k, y in enumerate(YEARS, 1))
+
+
+@query(RATED + f" SELECT player, round(r, 6) AS rating, round(d, 6) AS deviation, n AS games FROM s{len(YEARS)}")
+def sequential_ratings(spark, d):
+    """Ratings after all periods."""
+    _, state = ratings.rate(games(spark, d))
+    return state.select("player", r("rating").alias("rating"), r("deviation").alias("deviation"), "games")
+
+
+@query(RATED + " " + " UNION ALL ".join(f"SELECT {y} AS period, player, round(r0, 6) AS rating, round(d0, 6) AS deviation, n0 AS games, w0 AS decisive, w0 = 0 AS missing FROM u{k}" for k, y in enumerate(YEARS, 1)))
+def ratings_before_cards(spark, d):
+    """What each player of a period held before it."""
+    before, _ = ratings.rate(games(spark, d))
+    return before.select("period", "player", r("before_rating").alias("rating"), r("before_deviation").alias("deviation"), F.col("before_games").alias("games"), F.col("before_decisive").alias("decisive"), (F.col("before_decisive") == 0).alias("missing"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import odds, outcomes, text
-from tidemark.operators import asof, ledger, markets, paths, policy, quality, quotes, ratings, resample, schedule, scores
+from tidemark.operators import asof, ledger, markets, paths, policy, quality, quotes, resample, schedule, scores
 from tidemark.sources import pages, payloads
 from tidemark.streaming import ticks
 from tidemark.plans.tables import BETS_SQL, CUTOFF, OBS_SQL, bets, cutoff, observations, table
@@ -422,20 +422,6 @@ def kelly_path(spark, d):
     return out.select("l_suppkey", r("bankroll").alias("bankroll"), r("max_drawdown").alias("max_drawdown"))
 
 
-_GAMES = """g AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, CASE a.l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.0 END AS score, year(o_orderdate) * 12 + month(o_orderdate) AS period
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_suppkey <> b.l_suppkey JOIN orders ON o_orderkey = a.l_orderkey)"""
-
-
-@query(None)
-def sequential_ratings(spark, d):
-    l = table(spark, d, "lineitem")
-    a = l.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("a"), F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.5).otherwise(0.0).alias("score"))
-    b = l.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("b"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("period"))
-    games = a.join(b, "l_orderkey").where("a <> b").join(o, "l_orderkey").select(F.lit(0).alias("league"), "period", "a", "b", "score")
-    return ratings.sequential_ratings(games, "league").select("player", r("rating").alias("rating"), r("deviation").alias("deviation"), "games")
-
-
 # ---- scores ---------------------------------------------------------------------------------------------------------------------
 
 def _scored(spark, d):
