@@ -475,6 +475,60 @@ def test_leaks_wherever_words_are_changed(spark):
     assert len(want) > 6000 and {(r.doc_id, r.item_id): (r.matched, r.compared) for r in got} == want
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_masks_survive_every_pattern_of_changes(n):
+    """All patterns of as many changes as a window of n words may have: some mask fits unchanged."""
+    masks = spaced_seeds.masks_for(n, 20, 0.8)
+    changed = n - next(k for k in range(n + 1) if k >= 0.8 * n)
+    assert n < 3 or all(m[-1] + 1 > len(m) for m in masks)
+    for places in itertools.combinations(range(n), changed):
+        assert any(not {m + at for m in mask} & set(places) for mask in masks for at in range(n - mask[-1]))
+
+
+@pytest.mark.parametrize(("n", "share"), [(30, 0.9), (25, 0.6), (12, 0.5), (9, 0.3), (40, 1.0), (3, 0.34)])
+def test_masks_of_other_windows(n, share):
+    rng = random.Random(n)
+    masks = spaced_seeds.masks_for(n, n, share)
+    changed = n - next(k for k in range(n + 1) if k >= share * n)
+    for _ in range(20_000):
+        places = set(rng.sample(range(n), changed))
+        assert any(not {m + at for m in mask} & places for mask in masks for at in range(n - mask[-1]))
+
+
+def test_a_text_with_many_hits(spark):
+    """Over 256 hits in one document: an item's words again and again, and many items."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(60)]
+    text = " ".join(t for _, t in items for _ in range(8))
+    df = spark.createDataFrame([(1, text), (2, text.replace("w3 ", "x "))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.matched for r in spaced_seeds.find_leaks(df, bench, broadcast_seeds=most).collect()}
+        assert got == {(d, k): 20 if d == 1 else 19 for d in (1, 2) for k in range(60)}
+
+
+def test_leaks_equal_brute_force(spark):
+    docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    want = {}
+    for d, t in docs:
+        w = words(t)
+        at = defaultdict(list)
+        for k, x in enumerate(w):
+            at[x].append(k)
+        for i, b in items:
+            v = words(b)
+            wide = min(20, len(v))
+            for diagonal in {k - j for j, x in enumerate(v) for k in at.get(x, ())}:
+                same = [0 <= j + diagonal < len(w) and w[j + diagonal] == x for j, x in enumerate(v)]
+                inside = [j for j in range(len(v)) if 0 <= j + diagonal < len(w)]
+                for k in range(inside[0], inside[-1] + 2 - wide):
+                    n = sum(same[k : k + wide])
+                    if n >= 0.8 * wide:
+                        want[d, i] = max(want.get((d, i), 0), n)
+    assert want and {(r.doc_id, r.item_id): r.matched for r in queries.op10_decontamination(spark, SF).collect()} == want
+
+
 def test_planted_passages_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
