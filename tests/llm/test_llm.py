@@ -412,12 +412,18 @@ def test_host_rules(spark, edges, none):
     assert {r.doc_id for r in host_rules.keep_documents(df).collect()} == {d for d, (_, kept) in got.items() if kept}
 
 
-def test_host_verdicts_decide_rows(spark):
-    """On the driver's tables, whose hosts differ little, doubtful documents go by their host, and no other does."""
-    got = queries.op8_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
-    doubt = (3 * got.n_symbols > got.n_words) | (3 * got.n_repeat_words > got.n_words)
-    by_host = got[~got.base_failed & ~got.kept]
-    assert len(by_host) and doubt[by_host.index].all() and (got.kept & doubt).any()
+def test_even_hosts_reject_nobody_and_planted_ones_do(spark):
+    """On the driver's tables hosts differ little, so nobody is judged by the host; with bad hosts planted, of any size that is sure, their doubtful documents go and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    even = host_rules.judge_documents(docs).toPandas()
+    assert not even.host_rejected.any() and (even.kept == ~even.base_failed).all()
+    good = " ".join(f"word{k}" for k in range(80))
+    odd = " ".join(f"word{k} ##" if k % 2 else f"word{k}" for k in range(80))
+    planted = [(10**6 + 100 * h + k, f"bad{h}", odd if k % 10 else good) for h, n in enumerate((12, 60, 100)) for k in range(n)] + [(2 * 10**6 + k, "fair", odd if k % 6 == 0 else good) for k in range(90)] + [(3 * 10**6, "one", odd)]
+    got = host_rules.judge_documents(docs.unionByName(spark.createDataFrame(planted, docs.schema)), keep=("doc_id", "source")).toPandas()
+    assert set(got[got.host_rejected].source) == {"bad0", "bad1", "bad2"}
+    gone = got[~got.base_failed & ~got.kept]
+    assert set(gone.doc_id) == {d for d, s, t in planted if s.startswith("bad") and t == odd}
 
 
 def test_columns_that_clash_stay(spark):

@@ -2,7 +2,7 @@
 
 A document fails on its own by the base rules, and is doubtful by two weaker ones. Both are counted by host, the hosts'
 rates are shrunk towards an empirical beta prior (so a host with two documents isn't condemned by one), and a host that
-is probably worse than the average lends its verdict to its doubtful documents. All of it is DataFrame expressions.
+is worse than the average by a margin, almost surely, lends its verdict to its doubtful documents. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -56,13 +56,14 @@ def doubtful(m: Column) -> Column:
     return (3 * m["n_symbols"] > m["n_words"]) | (3 * m["n_repeat_words"] > m["n_words"])
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed", sure: float = 0.95, margin: float = 0.1) -> DataFrame:
     """One row for each host: host, documents, failures, shrunk_rate, p_worse, host_rejected.
 
     The prior Beta(a, b) has the mean of all documents and the strength that the spread of the hosts' rates implies
     (method of moments over hosts with two documents or more; without any spread the prior weighs 1000 documents, with
     extreme spread 1). p_worse is the posterior probability, in normal approximation, that the host's rate is above that
-    mean; hosts of `min_documents` or more that reach `sure` are rejected. A null host is a host of its own. Only one row
+    mean by more than `margin`; hosts that reach `sure` are rejected, whatever their size: a small one stays near the
+    prior. Where hosts don't differ, none is. A null host is a host of its own. Only one row
     of sums goes to the driver.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("documents"), F.sum(F.col(failed).cast("long")).alias("failures"))
@@ -80,14 +81,14 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed
         strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
     out = hosts.withColumn("shrunk_rate", (F.lit(mean * strength) + F.col("failures")) / (F.lit(strength) + F.col("documents")))
     deviation = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.lit(strength + 1) + F.col("documents")))
-    z = F.when(deviation > 0, (F.col("shrunk_rate") - mean) / deviation).otherwise(0.0)
+    z = F.when(deviation > 0, (F.col("shrunk_rate") - (mean + margin)) / deviation).otherwise(0.0)
     p_worse = F.lit(0.5) * (1 + F.signum(z) * F.sqrt(1 - F.exp(-2 * z * z / F.lit(math.pi))))  # the normal distribution function, within 0.002
-    return out.withColumn("p_worse", p_worse).withColumn("host_rejected", (F.col("documents") >= min_documents) & (F.col("p_worse") >= sure))
+    return out.withColumn("p_worse", p_worse).withColumn("host_rejected", F.col("p_worse") >= sure)
 
 
-def _rejected(counted: DataFrame, sure: float, min_documents: int) -> DataFrame:
+def _rejected(counted: DataFrame, sure: float, margin: float) -> DataFrame:
     """The rejected ones of counted (host, failed)."""
-    return materialise(host_verdicts(counted, "host", "failed", sure, min_documents).where("host_rejected").select("host"), "hosts-rejected", lasting=True)
+    return materialise(host_verdicts(counted, "host", "failed", sure, margin).where("host_rejected").select("host"), "hosts-rejected", lasting=True)
 
 
 def _with_verdict(df: DataFrame, bad: DataFrame, host: str, verdict: str) -> DataFrame:
@@ -97,7 +98,7 @@ def _with_verdict(df: DataFrame, bad: DataFrame, host: str, verdict: str) -> Dat
     return joined.withColumn(verdict, F.col(own).isNotNull()).drop(own)
 
 
-def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
+def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", sure: float = 0.95, margin: float = 0.1) -> DataFrame:
     """The columns `keep`, the metrics, base_failed, host_rejected and kept, a row for each row of df.
 
     kept is false where the base rules fail, and where the document is doubtful and its host rejected: a host counts as
@@ -110,13 +111,13 @@ def judge_documents(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: st
         raise ValueError(f"columns {sorted(clash)} are results; rename them before")
     own = df.select(F.struct(*keep).alias("given"), F.col(host).alias("host"), metrics(text).alias("m"))
     own = materialise(own.withColumns({"base": base_failed(F.col("m")), "doubt": doubtful(F.col("m"))}), "metrics", lasting=True)
-    out = _with_verdict(own, _rejected(own.select("host", (F.col("base") | F.col("doubt")).alias("failed")), sure, min_documents), "host", "verdict")
+    out = _with_verdict(own, _rejected(own.select("host", (F.col("base") | F.col("doubt")).alias("failed")), sure, margin), "host", "verdict")
     return out.select("given.*", "m.*", F.col("base").alias("base_failed"), F.col("verdict").alias("host_rejected"), (~F.col("base") & ~(F.col("verdict") & F.col("doubt"))).alias("kept"))
 
 
-def keep_documents(df: DataFrame, host: str = "source", text: str = "text", sure: float = 0.6, min_documents: int = 20) -> DataFrame:
+def keep_documents(df: DataFrame, host: str = "source", text: str = "text", sure: float = 0.95, margin: float = 0.1) -> DataFrame:
     """The rows of df that judge_documents keeps, whole, whatever their other columns are called. Texts are judged twice, for the hosts and for themselves, as that costs less than to write or shuffle them."""
-    bad = _rejected(df.select(F.col(host).alias("host"), _let(metrics(text), lambda m: base_failed(m) | doubtful(m)).alias("failed")), sure, min_documents)
+    bad = _rejected(df.select(F.col(host).alias("host"), _let(metrics(text), lambda m: base_failed(m) | doubtful(m)).alias("failed")), sure, margin)
     (verdict,) = fresh(df, "verdict")
     kept = _let(metrics(text), lambda m: ~base_failed(m) & ~(F.col(verdict) & doubtful(m)))
     return _with_verdict(df, bad, host, verdict).where(kept).select(*df.columns)

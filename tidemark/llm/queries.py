@@ -147,9 +147,9 @@ WITH base AS (
 ), shrunk AS (
   SELECT source, n, m, (m * strength + f) / (strength + n) AS r, strength FROM hosts, prior
 ), scored AS (
-  SELECT source, n, CASE WHEN r > 0 AND r < 1 THEN (r - m) / sqrt(r * (1 - r) / (strength + 1 + n)) ELSE 0 END AS z FROM shrunk
+  SELECT source, n, CASE WHEN r > 0 AND r < 1 THEN (r - (m + 0.1)) / sqrt(r * (1 - r) / (strength + 1 + n)) ELSE 0 END AS z FROM shrunk
 ), verdicts AS (
-  SELECT source, n >= 20 AND 0.5 * (1 + sign(z) * sqrt(1 - exp(-2 * z * z / pi()))) >= 0.6 AS host_rejected FROM scored
+  SELECT source, 0.5 * (1 + sign(z) * sqrt(1 - exp(-2 * z * z / pi()))) >= 0.95 AS host_rejected FROM scored
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
   NOT base_failed AND NOT (host_rejected AND (3 * n_symbols > n_words OR 3 * n_repeat_words > n_words)) AS kept
