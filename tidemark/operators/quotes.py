@@ -18,22 +18,22 @@ def join_quotes(wanted: DataFrame, quotes: DataFrame, keys: Sequence[str], cutof
     quotes: keys, quote_id, observed_at, price, availability, lifecycle, eligible, replacement, ambiguous.
     """
     seen = F.col("observed_at") <= cutoff
-    newest = F.max(F.when(seen, F.col("observed_at"))).over(Window.partitionBy(*keys))
-    q = quotes.withColumn("__newest", newest)
-    agg = q.groupBy(*keys).agg(
+    at_newest = lambda price: F.max(F.when(seen & F.col("price").isNotNull(), F.struct("observed_at", price.alias("p"))))
+    agg = quotes.groupBy(*keys).agg(
         F.count("*").alias("__n"),
         F.count_if(~seen).alias("later_ignored"),
         F.max(F.when(seen, F.struct("observed_at", "quote_id", "price", "availability", "lifecycle", "eligible", "replacement"))).alias("q"),
         F.coalesce(F.bool_or(F.when(seen, F.col("ambiguous"))), F.lit(False)).alias("__ambiguous"),
-        F.countDistinct(F.when(seen & (F.col("observed_at") == F.col("__newest")), F.col("price"))).alias("__prices"),
+        at_newest(F.col("price")).alias("__high"),
+        at_newest(-F.col("price")).alias("__low"),
     )
-    side = agg.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n", "later_ignored", "q", "__ambiguous", "__prices")
+    side = agg.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n", "later_ignored", "q", "__ambiguous", F.coalesce((F.col("__high.observed_at") == F.col("q.observed_at")) & (F.col("__high.p") != -F.col("__low.p")), F.lit(False)).alias("__prices"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     q = F.col("q")
     reason = (
         F.when(F.col("__n").isNull(), "threshold_only")
         .when(q.isNull(), "post_cutoff_odds")
-        .when(F.col("__ambiguous") | (F.col("__prices") > 1), "ambiguous_odds")
+        .when(F.col("__ambiguous") | F.col("__prices"), "ambiguous_odds")
         .when(q["replacement"] | (q["lifecycle"] == "replaced"), "replaced_odds")
         .when(q["lifecycle"] == "stale", "stale_odds")
         .when((q["availability"] != "available") | q["lifecycle"].isin(*BLOCKING), "suspended_odds")

@@ -9,21 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import newton
+from tidemark.operators.ledger import stored
 
 
 def expanding_folds(cards: DataFrame, card: str, start: str, cutoff: str) -> DataFrame:
     """Each card is a test fold once; it trains on the other cards that started before its cutoff: test_card, n_train, last_train.
 
-    Starts and cutoffs are one line of time that a window walks once; cards are blocks, few beside their rows.
+    Starts and cutoffs are one line of time, dealt by ranges; each task walks its range, and what the ranges before hold
+    is a row for each of them.
     """
-    begun = Window.orderBy("at", "card")
-    starts = cards.select(F.col(card).alias("card"), F.col(start).alias("at")).where("at IS NOT NULL").withColumn("before", F.lag("at").over(begun))
-    line = starts.select("at", "card", "before", F.lit(1).alias("kind")).unionByName(cards.select(F.col(cutoff).alias("at"), F.col(card).alias("card"), F.lit(None).cast(starts.schema["at"].dataType).alias("before"), F.lit(0).alias("kind")))
-    walk = Window.orderBy("at", "kind", "card").rowsBetween(Window.unboundedPreceding, -1)  # a cutoff comes before the starts at its time
-    seen = line.withColumns({"n": F.coalesce(F.sum("kind").over(walk), F.lit(0)), "last": F.last(F.when(F.col("kind") == 1, F.struct("card", "at", "before")), ignorenulls=True).over(walk)}).where("kind = 0 AND at IS NOT NULL")
+    starts = cards.where(F.col(start).isNotNull()).select(F.col(start).alias("at"), F.lit(1).alias("kind"), F.col(card).alias("card"))
+    line = starts.unionByName(cards.where(F.col(cutoff).isNotNull()).select(F.col(cutoff).alias("at"), F.lit(0).alias("kind"), F.col(card).alias("card")))
+    order = ["at", "kind", "card"]  # a cutoff comes before the starts at its time
+    spread = stored(line.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "line")
+    begun = F.when(F.col("kind") == 1, F.struct("at", "card"))
+    here = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spread.groupBy("part").agg(F.sum("kind").alias("c"), F.max(begun).alias("top"))  # a row for each range
+    ranges = ranges.select("part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("more"), F.last("top", ignorenulls=True).over(earlier).alias("held"))
+    walked = spread.withColumns({"n": F.coalesce(F.sum("kind").over(here), F.lit(0)), "last": F.last(begun, ignorenulls=True).over(here)}).join(F.broadcast(ranges), "part")
+    walked = walked.select("card", "kind", (F.col("n") + F.col("more")).alias("n"), F.coalesce("last", "held").alias("last"))
     own = cards.select(F.col(card).alias("card"), (F.col(start) < F.col(cutoff)).alias("own"))
-    out = cards.select(F.col(card).alias("card")).join(seen.select("card", "n", "last"), "card", "left").join(own, "card")
-    late = F.when(F.col("last.card") == F.col("card"), F.col("last.before")).otherwise(F.col("last.at"))
+    out = own.join(walked.where("kind = 0").select("card", "n", "last"), "card", "left").join(walked.where("kind = 1").select("card", F.col("last.at").alias("before")), "card", "left")
+    late = F.when(F.col("last.card") == F.col("card"), F.col("before")).otherwise(F.col("last.at"))
     return out.select(F.col("card").alias("test_card"), (F.coalesce("n", F.lit(0)) - F.coalesce(F.col("own"), F.lit(False)).cast("int")).cast("long").alias("n_train"), late.alias("last_train"))
 
 

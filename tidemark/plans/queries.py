@@ -15,6 +15,8 @@ from tidemark.plans.tables import BETS_SQL, CUTOFF, OBS_SQL, bets, cutoff, obser
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The catalogue of families, which are the types of events.
+FAMILIES = ("click", "error", "purchase", "signup", "view")
 T = f"TIMESTAMP '{CUTOFF}'"
 
 
@@ -206,8 +208,8 @@ def quote_join_ladder(spark, d):
         (k % 7 != 0).alias("eligible"), (k % 19 == 0).alias("replacement"), (F.col("event_id") % 97 == 0).alias("ambiguous"),
     )
     e = table(spark, d, "events")
-    families = e.select(F.lit(0).alias("all"), F.col("event_type").alias("family")).distinct()  # a row for each of a few families
-    wanted = e.select(F.lit(0).alias("all"), F.col("user_id").alias("bout")).distinct().join(families, "all").select("bout", "family").select("*", F.explode(F.array(F.lit(1), F.lit(None), F.lit(9))).alias("line"))
+    line = F.explode(F.array(F.lit(1), F.lit(None), F.lit(9))).alias("line")
+    wanted = e.select(F.col("user_id").alias("bout")).distinct().select("bout", F.explode(F.array(*map(F.lit, FAMILIES))).alias("family")).select("*", line)
     return quotes.join_quotes(wanted, q, ["bout", "family", "line"], cutoff())
 
 
