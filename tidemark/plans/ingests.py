@@ -13,10 +13,11 @@ from tidemark.sources import blobs, ingest
 
 
 def _lines(spark, d):
-    seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 2000 + F.col("l_suppkey")
+    quantity = F.col("l_quantity").cast("long")
+    seq = (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 2000 + F.col("l_suppkey")) * 64 + quantity
     return table(spark, d, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("external_id"),
-        F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("payload_hash"),
+        F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity.cast("string"))).alias("payload_hash"),
         F.lit("bout_result").alias("entity_kind"), F.col("l_suppkey").cast("string").alias("subject_id"), F.col("l_linestatus").alias("version_kind"),
         F.when(F.col("l_returnflag") == "A", "summary").when(F.col("l_returnflag") == "N", "partial").otherwise("verified").alias("detail_level"),
         F.col("l_quantity").cast("string").alias("attributes"), F.col("l_shipdate").alias("effective_at"), F.col("l_shipdate").alias("observed_at"), seq.alias("seq"), "l_linenumber",
@@ -31,8 +32,8 @@ def _ingested(spark, d):
 
 
 _LINES = """WITH o AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS subject_id, l_linestatus AS version_kind, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS payload_hash,
-    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS rank, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 2000 + l_suppkey AS seq,
+  SELECT CAST(l_suppkey AS VARCHAR) AS subject_id, l_linestatus AS version_kind, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT)) AS payload_hash,
+    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS rank, (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS seq,
     CASE WHEN l_linenumber <= 2 THEN 1 WHEN l_linenumber <= 4 THEN 2 ELSE 3 END AS batch FROM lineitem
 ), f AS (
   SELECT *, batch = min(batch) OVER (PARTITION BY subject_id, version_kind) AND seq = min(seq) OVER (PARTITION BY subject_id, version_kind, batch)
