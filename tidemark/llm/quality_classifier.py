@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow
+from tidemark.llm.common import bound_arrow, materialise, tidied
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STATS = 10
@@ -198,8 +198,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", s: Se
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros((s.buckets, s.dims), np.float64)
-    for row in sample.select("text").mapInArrow(contexts, "total binary").collect():  # `parts` rows of fixed size, made side by side
-        total += np.frombuffer(row.total, np.float32).reshape(total.shape)
+    with tidied(documents.sparkSession):  # tables of fixed size, made side by side; the driver holds a few at a time, whatever their number
+        for row in materialise(sample.select("text").mapInArrow(contexts, "total binary"), "contexts").toLocalIterator():
+            total += np.frombuffer(row.total, np.float32).reshape(total.shape)
     vectors = word_vectors(total, index)
     given = documents.sparkSession.sparkContext.broadcast(vectors)
 
