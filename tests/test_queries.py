@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from compare import rows
-from tidemark.plans import cards, evidence, fits, ingests, more, people  # noqa: F401
+from tidemark.plans import cards, evidence, fits, grades, ingests, more, people  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
