@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from compare import rows
-from tidemark.plans import audits, boards, cards, evidence, fits, grades, ingests, more, people, walks  # noqa: F401
+from tidemark.plans import audits, boards, cards, evidence, fits, grades, ingests, more, people, publications, walks  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
