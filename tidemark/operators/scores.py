@@ -64,3 +64,32 @@ def multiclass(rows: DataFrame, group: list[str], probability: str, won: str, ep
     share = F.col("__w") / F.col("__t")
     ok = (F.col("winners") == 1) & (F.col("__t") > 0)
     return g.select(*group, "winners", F.when(ok, -F.ln(F.greatest(share, F.lit(eps)))).alias("log_loss"), F.when(ok, F.col("__pp") / (F.col("__t") * F.col("__t")) - 2 * share + 1).alias("brier"))
+
+
+def reconciliation(rows: DataFrame, dimensions: Mapping[str, Column], measures: Mapping[str, Column]) -> DataFrame:
+    """dimension, measure, total, slices, ok: whether each dimension's universes add up to the whole, in one aggregation.
+
+    A dimension gives an array as in `breakdowns`; a row in no universe, or in two, makes it not add up. A null array is
+    no universe, a null measure is 0; measures are whole numbers.
+    """
+    m = {k: F.coalesce(v.cast("long"), F.lit(0)) for k, v in measures.items()}
+    size = {d: F.coalesce(F.size(v), F.lit(0)) for d, v in dimensions.items()}
+    sums = [F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("measure"), F.coalesce(F.sum(v), F.lit(0)).alias("total"), F.coalesce(F.sum(v * s), F.lit(0)).alias("slices")) for d, s in size.items() for k, v in m.items()]
+    return rows.agg(F.array(*sums).alias("a")).select(F.inline("a")).withColumn("ok", F.col("total") == F.col("slices"))
+
+
+def terminal_log_loss(rows: DataFrame, chances: str, observed: str, tolerance: float = 1e-10, eps: float = 1e-15) -> DataFrame:
+    """One row: n, n_mass (chances that don't add up to 1), n_missing (what happened isn't among them), n_impossible (it had no chance), and nll, the mean loss of what happened.
+
+    chances: a map of names to chances. Without rows, or with a row at fault, there is no nll. A null or NaN chance spoils
+    its row's mass; a null map counts as mass and as missing.
+    """
+    # aggregate over the values, as a null among them must show
+    mass = F.aggregate(F.map_values(chances), F.lit(0.0), lambda s, x: s + x)
+    off = F.coalesce(F.isnan(mass) | (F.abs(mass - 1) > tolerance), F.lit(True))
+    missing = ~F.coalesce(F.map_contains_key(chances, F.col(observed)), F.lit(False))
+    p = F.try_element_at(chances, F.col(observed))
+    impossible = ~missing & F.coalesce(F.isnan(p) | (p <= 0), F.lit(True))
+    found = rows.select(off.alias("off"), missing.alias("missing"), impossible.alias("impossible"), (-F.ln(F.greatest(p, F.lit(eps)))).alias("loss"))
+    counts = found.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"n_{a}") for c, a in (("off", "mass"), ("missing", "missing"), ("impossible", "impossible"))], F.avg("loss").alias("mean"))
+    return counts.select("n", "n_mass", "n_missing", "n_impossible", F.when(F.col("n_mass") + F.col("n_missing") + F.col("n_impossible") == 0, F.col("mean")).alias("nll"))

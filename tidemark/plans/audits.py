@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import leakage
+from tidemark.operators import leakage, scores
 from tidemark.operators.leakage import Mutation
-from tidemark.plans.queries import T, query
-from tidemark.plans.tables import OBS_SQL, cutoff, observations
+from tidemark.plans.queries import T, query, r
+from tidemark.plans.tables import OBS_SQL, cutoff, observations, table
 
 KEYS = ("user_id", "event_type")
 
@@ -56,3 +56,24 @@ def leakage_cells(spark, d):
     """Every cell that a leak changed, by key and column."""
     f = facts(spark, d)
     return leakage.changed_cells(leaky(f), leaky(_late(f)), KEYS)
+
+
+@query("""WITH x AS (SELECT l_linenumber, year(l_shipdate) AS y, l_returnflag AS f, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS priced FROM lineitem)
+SELECT dimension, measure, CAST(total AS BIGINT) AS total, CAST(slices AS BIGINT) AS slices, total = slices AS ok FROM (
+  SELECT 'year' AS dimension, 'rows' AS measure, count(*) AS total, count(y) AS slices FROM x UNION ALL SELECT 'year', 'priced', sum(priced), sum(priced) FILTER (y IS NOT NULL) FROM x
+  UNION ALL SELECT 'flag', 'rows', count(*), count(*) FILTER (f <> 'R') + count(*) FILTER (l_linenumber = 1) FROM x UNION ALL SELECT 'flag', 'priced', sum(priced), sum(priced) FILTER (f <> 'R') + sum(priced) FILTER (l_linenumber = 1) FROM x)""")
+def breakdown_reconciliation(spark, d):
+    """Years are a partition of the lines; flags without R, beside the first lines, are none."""
+    line = table(spark, d, "lineitem")
+    flags = F.filter(F.array(F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")), F.when(F.col("l_linenumber") == 1, "first")), lambda x: x.isNotNull())
+    return scores.reconciliation(line, {"year": F.array(F.year("l_shipdate")), "flag": flags}, {"rows": F.lit(1), "priced": F.col("l_discount") > 0.05})
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(-avg(ln(greatest(CASE l_returnflag WHEN 'A' THEN l_discount / 2 + 0.1 WHEN 'R' THEN l_discount / 2 + 0.2 ELSE 0.7 - l_discount END, 1e-15))), 6) AS nll FROM lineitem GROUP BY 1""")
+def terminal_losses(spark, d):
+    """The loss of each flag's lines under chances that the discount gives."""
+    x, flag = F.col("l_discount"), F.col("l_returnflag")
+    chances = F.create_map(F.lit("A"), x / 2 + 0.1, F.lit("R"), x / 2 + 0.2, F.lit("N"), 0.7 - x)
+    line = table(spark, d, "lineitem").select(chances.alias("chances"), flag.alias("flag"))
+    each = [scores.terminal_log_loss(line.where(F.col("flag") == f), "chances", "flag").select(F.lit(f).alias("l_returnflag"), "n", r("nll").alias("nll")) for f in ("A", "N", "R")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).where("n > 0")
