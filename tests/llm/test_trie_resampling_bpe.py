@@ -13,7 +13,7 @@ from zlib import crc32
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, trainers
 
 from tidemark.llm import chunked_bpe, importance_resampling, prefix_trie, queries
 from tidemark.llm.common import running_total
@@ -191,6 +191,38 @@ def test_joins_that_disagree_are_widened(monkeypatch):
     assert model.widened == 1 and list(struct.unpack(f"<{len(got) // 4}I", got)) == want[0]
 
 
+def test_words_are_learnt_by_pieces():
+    rng = random.Random(15)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    words = [f"{form(w)}{end}" for w in stems for form in (str, str.upper, str.title) for end in ("", ".", "***", '%,"', "!)-")]
+    rng.shuffle(words)
+    model = chunked_bpe.Chunked(WORD_BPE)
+    text = " ".join(words)
+    got = model.encode([text])[0]
+    assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library([text])[0][0]
+    assert len(model.words) <= len(set(stems)) + 4  # each stem and each ending once, in whatever case and company
+
+
+def test_a_tokenizer_that_keeps_letters_and_punctuation_together(tmp_path):
+    own = Tokenizer(models.BPE(end_of_word_suffix="</w>"))
+    own.normalizer, own.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    texts = [f"one_two, One_Two{k}. two_one, word_{k}! \u00e9t\u00e9 one two" for k in range(30)]
+    own.train_from_iterator(texts, trainers.BpeTrainer(end_of_word_suffix="</w>", show_progress=False))
+    own.save(str(tmp_path / "own.json"))
+    model = chunked_bpe.Chunked(str(tmp_path / "own.json"), 5, 30)
+    got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in model.encode([" ".join(texts), *texts])]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in (" ".join(texts), *texts)]
+
+
+def test_pieces_of_odd_words_give_the_librarys_ids():
+    odd = ["A<|endoftext|>B", "<|ENDOFTEXT|>", "x.<|startoftext|>.Y", "H\u0331h\u0331", "I\u0307.", "\u0130A.", "K\u0327,B", "DON'T", "x'st", "'Re'", "a.'ll", "\u00c9.A", "\u1e96H.", "\u03a3A\u03a3.", "A=\u0338", "a\x1cB.", "9.A", "A\x00B!", "\ufb01X."]
+    model = chunked_bpe.Chunked(WORD_BPE, 9, 128)
+    texts = [f"Some words, before {w} and (after) it." for w in odd] + [" ".join(odd), "\n".join(odd * 40), " \t".join(w + w for w in odd)]
+    want, decoded = library(texts)
+    got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in model.encode(texts)]
+    assert got == want and model.decoded(model.encode(texts)).to_pylist() == decoded
+
+
 def test_tokenizers_that_keep_spaces_are_refused():
     with pytest.raises(ValueError, match="white space"):
         chunked_bpe.Chunked(queries.tokenizer_path("byte_bpe_50k.json"))

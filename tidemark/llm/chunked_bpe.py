@@ -7,7 +7,8 @@ word of one chunk to the first whole word of the next is encoded anew, and must
 these words; where it doesn't, the next chunks are drawn in, until it does or the whole text is encoded at once.
 
 The tokenizer drops white space and never merges across it (checked when it is loaded), so words between ASCII spaces
-are encoded each by itself, and a distinct word once.
+are encoded each by itself, and a distinct word once. Where the tokenizer splits letters from punctuation, so are words
+here; a block of new chunks is split as one array of bytes, its distinct pieces are looked up, and ids gathered from them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import bound_arrow, slices
@@ -27,17 +29,27 @@ from tidemark.llm.common import bound_arrow, slices
 WINDOW, FACTOR = 16, 0x9E3779B1
 #: Below this code point nothing composes, and lower case keeps letters letters but for U+0130.
 PLAIN = "\u0250"
-#: Punctuation that closes a word.
-CLOSING = b".,;:!?"
+#: Punctuation that closes a word: all of ASCII.
+CLOSING = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Kinds of bytes: ASCII spaces, letters and punctuation; all others are 0.
+SPACE, LETTER, PUNCTUATION = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+for _of, _kind in ((b" \t\n\r\v\f", SPACE), (bytes(b for b in range(128) if chr(b).isalpha()), LETTER), (CLOSING, PUNCTUATION)):
+    KIND[list(_of)] = _kind
+#: UTF-8 starts with this byte or a greater one from U+0240 on, so for all that isn't PLAIN.
+NOT_PLAIN = 0xC9
+#: Bytes of chunks that are split at once.
+BLOCK = 1 << 20
 
 
 def chunk_starts(codes: np.ndarray, bits: int, least: int) -> list[int]:
     """Where chunks of a text start: a cut stands behind a window whose hash has `bits` zeros, if the chunk has `least` code points."""
     if len(codes) <= least:
         return [0] if len(codes) else []
-    hashes = np.zeros(len(codes) - WINDOW + 1, np.uint32)
-    for k in range(WINDOW):
-        hashes = hashes * np.uint32(FACTOR) + codes[k : len(codes) - WINDOW + 1 + k]
+    hashes, width = codes, 1
+    while width < WINDOW:  # a window's hash from those of its halves
+        hashes = hashes[:-width] * np.uint32(pow(FACTOR, width, 1 << 32)) + hashes[width:]
+        width *= 2
     hashes ^= hashes >> np.uint32(15)
     hashes *= np.uint32(0x85EBCA6B)
     cuts = [0]
@@ -74,7 +86,7 @@ class Chunked:
     def __init__(self, path: str, bits: int = 9, least: int = 128, cache_bytes: int = 24 << 20, cached_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -84,6 +96,7 @@ class Chunked:
         self.names: dict[int, str] = {k: v for v, k in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.token_at = [self.names.get(k, "") for k in range(max(self.names) + 1)]
         self.decimal_at = [str(k) for k in range(len(self.token_at))]
+        self.tokens, self.decimals = pa.array(self.token_at, pa.string()), pa.array(self.decimal_at, pa.string())
         self.encoded_chunks = self.widened = 0
         for gap in " \t\n\r\v\f":
             if self._ids(f"one{gap}two") != self._ids("one") + self._ids("two"):
@@ -92,8 +105,18 @@ class Chunked:
         # Tokens that end a piece, if the vocabulary marks them and case doesn't matter.
         self.ends = None
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
-            if self._ids("\u00c9t\u00c9, Word") == self._ids("\u00e9t\u00e9") + self._ids(",") + self._ids("word"):
+            split = all(self._ids(f"one{c}two") == self._ids("one") + self._ids(f"{c}two") for c in CLOSING.decode())
+            if split and self._ids("\u00c9t\u00c9, Word") == self._ids("\u00e9t\u00e9") + self._ids(",") + self._ids("word"):
                 self.ends = np.array([t.endswith(suffix) for t in self.token_at])
+        # Words of letters in lower case need the model's merges alone, if it takes bytes; the rest of the tokenizer leaves them.
+        self.merges = self.tokenizer
+        if self.ends is None:
+            return
+        merges = Tokenizer(self.tokenizer.model)
+        merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = " ".join(map(chr, filter(lambda c: chr(c).islower() and chr(c).isalpha(), range(ord(PLAIN)))))
+        if all(merges.encode(probe).ids == self._ids(probe) for probe in (letters, letters.replace(" ", ""))):
+            self.merges = merges
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -110,24 +133,27 @@ class Chunked:
         """
         if len(self.words) > self.cached_words:
             self.words, self.older = {}, self.words
-        known, older = self.words, self.older
+        known, older, ready = self.words, self.older, self.ends is not None
         parts: dict[bytes, tuple[bytes, ...]] = {}
+        letters, others = [], []
         for w in words.difference(known):
             if (ids := older.get(w)) is not None:
                 known[w] = ids
+            elif ready and w.isalpha() and w.islower():
+                letters.append(w)
             else:
                 parts[w] = self._parts(w)
-        letters, others = [], []
-        for p in set(chain.from_iterable(parts.values())).difference(known):
+        simple = set(letters)
+        for p in set(chain.from_iterable(parts.values())).difference(known, simple):
             if (ids := older.get(p)) is not None:
                 known[p] = ids
-            elif self.ends is not None and (p.isalpha() if p.isascii() else self._letters(p.decode())):
+            elif ready and (p.isalpha() if p.isascii() else self._letters(p.decode())):
                 letters.append(p)
             else:
                 others.append(p)
         for a in range(0, len(letters), 2048):
             some = letters[a : a + 2048]
-            ids = np.array(self._ids(b" ".join(some).decode()), "<u4")
+            ids = np.array(self.merges.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(some):
                 raise ValueError("a word of letters isn't one piece in this tokenizer")
@@ -159,25 +185,69 @@ class Chunked:
         stem = s.rstrip(CLOSING.decode())
         return (stem.encode(), s[len(stem) :].encode()) if len(stem) < len(s) and stem[-1:].isalpha() else (s.encode(),)
 
+    def _pieces(self, block: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of the words inside chunks, without the outer ones, of chunks of four words or more.
+
+        Returns them as a dictionary array, the number of each piece's word, the number of each chunk's first word (and
+        one more at the end) and where words start in the chunks, one space between them. Pieces are words, or parts of
+        words where a letter meets punctuation, with A-Z lower-cased; words that may hold a special token or something
+        that composes stay as they are.
+        """
+        buffer = np.frombuffer(b" ".join([*block, b""]), np.uint8)
+        kind = KIND[buffer]
+        space = kind == SPACE
+        starts = ~space
+        starts[1:] &= space[:-1]
+        word_at, word_of = np.flatnonzero(starts), np.cumsum(starts, dtype=np.int32) - 1
+        bounds = np.searchsorted(word_at, np.cumsum([0, *(len(c) + 1 for c in block)]))
+        inner = np.repeat(np.diff(bounds) >= 4, np.diff(bounds))
+        some = np.flatnonzero(np.diff(bounds))
+        inner[bounds[some]] = inner[bounds[some + 1] - 1] = False
+        marks = buffer >= NOT_PLAIN
+        marks[:-1] |= (buffer[:-1] == ord("<")) & (buffer[1:] == ord("|"))
+        loose = np.full(len(word_at), self.ends is not None)
+        loose[word_of[marks]] = False
+        kept = np.flatnonzero(~space)
+        kept = kept[inner[word_of[kept]]]
+        of, kinds = word_of[kept], kind[kept]
+        cuts = kinds == PUNCTUATION
+        cuts[1:] &= kinds[:-1] == LETTER
+        cuts = cuts & loose[of] | starts[kept]
+        data = np.where((kinds == LETTER) & loose[of], buffer[kept] | 32, buffer[kept])
+        offsets = np.append(np.flatnonzero(cuts), len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pieces.dictionary_encode(), of[cuts], bounds, word_at
+
     def _learn_chunks(self, chunks: set[bytes]) -> dict[bytes, tuple | None]:
         """Of each chunk (ids between its outer words, its head to the end of the first whole word, its tail from the last whole one, their ids); None if it has no whole words."""
         known = {c: found[0] for c in chunks if (found := self.chunks[c]) is not None}
-        new = {c: c.split() for c in chunks if c not in known}
+        new = [c for c in chunks if c not in known]
         self.encoded_chunks += len(new)
-        met: set[bytes] = set()
-        for words in new.values():
-            met.update(words[1:-1])
-        ids_of = self._learn_words(met)
-        for c, words in new.items():
-            if len(words) < 4:
-                made = None
-            else:
-                first, last = words[1], words[-2]
-                head = c.index(first, c.index(words[0]) + len(words[0])) + len(first)
-                tail = c.rindex(last, 0, c.rindex(words[-1]))
-                made = (b"".join(map(ids_of.__getitem__, words[1:-1])), c[:head], c[tail:], ids_of[first], ids_of[last])
-            known[c] = made
-            self.chunks.add(c, made, 400 + 2 * len(c) + (len(made[0]) if made else 0))
+        for a, b in slices([len(c) for c in new], BLOCK):
+            block = new[a:b]
+            pieces, piece_word, bounds, word_at = self._pieces(block)
+            distinct = pieces.dictionary.to_pylist()
+            ids_of = self._learn_words(set(distinct))
+            found = [ids_of[p] for p in distinct]
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            held, index = np.frombuffer(b"".join(found), "<u4"), pieces.indices.to_numpy()
+            counts = lengths[index]
+            ends = np.cumsum(counts)
+            begins = (np.cumsum(lengths) - lengths)[index] - (ends - counts)
+            whole = held[np.repeat(begins, counts) + np.arange(len(begins) and ends[-1])].tobytes()
+            # Where each word's ids start: words without pieces here have none.
+            at = 4 * np.concatenate([[0], np.cumsum(np.bincount(piece_word, counts, len(word_at)).astype(np.int64))])
+            for k, c in enumerate(block):
+                first, last = int(bounds[k]), int(bounds[k + 1])
+                if last - first < 4:
+                    made = None
+                else:
+                    x, x1, y1, y = at[[first, first + 2, last - 2, last]].tolist()
+                    outer, right = c.split(None, 2), c.rsplit(None, 2)
+                    head, tail = len(c) - len(outer[2]), len(right[0])
+                    made = (whole[x:y], c[:head].rstrip(), c[tail:].lstrip(), whole[x:x1], whole[y1:y])
+                known[c] = made
+                self.chunks.add(c, made, 400 + 2 * len(c) + (len(made[0]) if made else 0))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -220,8 +290,19 @@ class Chunked:
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes without skipping special tokens; without a decoder it puts a space between tokens."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        return " ".join(map(self.token_at.__getitem__, numbers)) if self.joined_by_space else self.tokenizer.decode(numbers, skip_special_tokens=False)
+        return self.decoded([ids])[0].as_py()
+
+    def decoded(self, ids: list[bytes]) -> pa.Array:
+        if self.joined_by_space:
+            return joined(self.tokens, ids)
+        return pa.array([self.tokenizer.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in ids], pa.string())
+
+
+def joined(names: pa.Array, ids: list[bytes]) -> pa.Array:
+    """Of each text the names of its ids, one space between them."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(np.frombuffer(b"".join(ids), "<u4"))))
+    return pc.binary_join(lists, " ")
 
 
 _loaded: dict[tuple, Chunked] = {}
@@ -250,13 +331,20 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tu
         model = _loaded[key]
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            ids = [x for a, b in slices([len(t) for t in texts], chars) for x in model.encode(texts[a:b])]
+            ids, plain, decimal = [], [pa.array([], pa.string())], [pa.array([], pa.string())]
+            for a, b in slices([len(t) for t in texts], chars):
+                some = model.encode(texts[a:b])
+                ids += some
+                if decoded:
+                    plain.append(model.decoded(some))
+                if text_ids:
+                    decimal.append(joined(model.decimals, some))
             columns = [batch.column(k) for k in range(len(keep))]
             columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
-                columns.append(pa.array([model.decode(x) for x in ids], pa.string()))
+                columns.append(pa.concat_arrays(plain))
             if text_ids:
-                columns.append(pa.array([" ".join(map(model.decimal_at.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.string()))
+                columns.append(pa.concat_arrays(decimal))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
     return df.select(*keep, df[text]).mapInArrow(run, schema)
