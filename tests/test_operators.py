@@ -197,3 +197,13 @@ def test_rows_derive_what_atoms_derive(spark):
     row = spark.createDataFrame([(1, p)], "b int, p array<double>")
     a, b = ({(r.family, r.outcome): round(r.probability, 12) for r in df.collect()} for df in (markets.derive(fine, ["b"]), markets.derive_row(row, ["b"], F.col("p"), 3)))
     assert a == b and len(a) == 27
+
+
+def test_a_fingerprint_sums_past_a_long(spark):
+    """The sum of 48-bit hashes of 100,000 rows is over 2 ** 63."""
+    import hashlib
+
+    got = ledger.fingerprint(spark.range(100_000).select("id"), ["id"]).first()
+    h = [int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16) for k in range(100_000)]
+    assert (got.n, int(got.s)) == (100_000, sum(h)) and sum(h) > 2**63
+    assert ledger.fingerprint(spark.range(0).select("id"), ["id"]).first().s is None

@@ -64,6 +64,6 @@ def upsert_latest(target: DataFrame, changes: DataFrame, key: Sequence[str], ord
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """An order-independent digest of all rows: their count, and the exclusive or and sum of 48-bit hashes, combined before the shuffle. The hash is an md5's, so that other engines can make it; nulls are left out of a row."""
+    """An order-independent digest of all rows: their count, and the exclusive or and sum of 48-bit hashes, combined before the shuffle. The hash is an md5's, so that other engines can make it; nulls are left out of a row. The sum is a decimal: that of some 65,000 rows may be past a long."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 12), 16, 10).cast("long")
-    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum("h").alias("s"))
+    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(15,0)")).cast("decimal(38,0)").alias("s"))
