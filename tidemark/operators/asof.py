@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,9 +95,20 @@ def one_cutoff_each(rows: DataFrame, group: str, cutoff: str) -> DataFrame:
 def scope_match(query: DataFrame, scopes: DataFrame, exact: Sequence[str], wild: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """To each query row the last scope row whose exact columns agree and whose wild columns agree or are null.
 
-    Equality on the exact columns makes it an equi-join; the wildcards are a filter on its rows.
+    Only the last scope row of each pattern can win, so the scopes are cut to one row a pattern first. Each query row then
+    looks up one pattern for each set of wild columns that is left open (2 ** len(wild)), so no join fans out, however many
+    scopes fit a row. Equal query rows come once.
     """
-    s = scopes.select(*[F.col(c).alias(f"__s_{c}") for c in dict.fromkeys([*exact, *wild, *order, *values])])
-    on = [F.col(c) == F.col(f"__s_{c}") for c in exact] + [F.col(f"__s_{c}").isNull() | (F.col(c) == F.col(f"__s_{c}")) for c in wild]
-    best = F.max_by(F.struct(*[F.col(f"__s_{c}").alias(c) for c in values]), F.struct(*[f"__s_{c}" for c in order]))
-    return query.join(s, on, "left").groupBy(*query.columns).agg(best.alias("__b")).select(*query.columns, *[F.col("__b")[v].alias(v) for v in values])
+    names, keys = {c: f"__s_{c}" for c in dict.fromkeys([*exact, *wild, *order, *values])}, [*exact, *wild]
+    rank, value = F.struct(*[names[c] for c in order]), F.struct(*[F.col(names[c]).alias(c) for c in values])
+    s = scopes.select(*[F.col(c).alias(n) for c, n in names.items()])
+    best = s.groupBy(*[names[c] for c in keys]).agg(F.max_by(F.struct(rank.alias("o"), value.alias("v")), rank).alias("__b"))
+    out, found = query.distinct(), []
+    for k, closed in enumerate(product((False, True), repeat=len(wild))):
+        test = [F.col(names[c]).isNotNull() if shut else F.col(names[c]).isNull() for c, shut in zip(wild, closed, strict=True)]
+        at = [*exact, *[c for c, shut in zip(wild, closed, strict=True) if shut]]
+        one = best.where(reduce(and_, test, F.lit(True))).select(*[F.col(names[c]).alias(f"__{k}_{c}") for c in at], F.col("__b").alias(f"__b{k}"))
+        out = out.join(one, [F.col(c) == F.col(f"__{k}_{c}") for c in at] or F.lit(True), "left")
+        found.append(F.col(f"__b{k}"))
+    last = F.array_max(F.array_compact(F.array(*found)))
+    return out.select(*query.columns, last.alias("__b")).select(*query.columns, *[F.col("__b")["v"][v].alias(v) for v in values])
