@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import threading
 import uuid
-from datetime import datetime
 
 import duckdb
 import pytest
@@ -52,3 +51,11 @@ def test_scopes_with_several_open_columns(spark):
     scopes = spark.createDataFrame([(10, None, None, 1.0), (11, "a", None, 2.0), (12, "a", "b", 1.5), (13, None, "d", 1.0), (14, None, None, None)], "sid int, p string, q string, v double")
     got = asof.scope_match(query, scopes, [], ["p", "q"], ["v", "sid"], ["sid"]).collect()
     assert sorted((r.id, r.sid) for r in got) == [(1, 11), (2, 11), (3, 13)]
+
+
+EVENT = "SELECT {0} AS event_id, TIMESTAMP '{1}' AS ts, {2} AS user_id, 'view' AS event_type, {3} AS value, '{{}}' AS props"
+
+
+def test_events_without_value_have_a_share(spark, tmp_path):
+    made = [(1, 1, "0.0::DOUBLE"), (2, 1, "3.0"), (3, 1, "NULL"), (4, 2, "0.0"), (5, 3, "-1.0"), (6, 3, "1.0"), (7, "NULL", "1.5"), (8, "NULL", "0.0")]
+    assert matches(spark, tmp_path, "devig", events=" UNION ALL ".join(EVENT.format(k, "2024-01-01", user, v) for k, user, v in made))

@@ -44,6 +44,13 @@ def join_quotes(wanted: DataFrame, quotes: DataFrame, keys: Sequence[str], cutof
     return out.select(*wanted.columns, "reason", price.alias("price"), F.when(F.col("reason").isNull(), q["quote_id"]).alias("quote_id"), F.coalesce("later_ignored", F.lit(0)).cast("long").alias("later_ignored"))
 
 
+def shares(prices: DataFrame, market: Sequence[str], price: str) -> DataFrame:
+    """Adds no_vig (share of 1/price in its market) and overround of all prices as they stand, whatever their domain; a null price has no share, and 0 is divided by as in floating point."""
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.when(b == 0, a * float("inf")))
+    out = prices.withColumn("__one", over(F.lit(1.0), F.col(price))).withColumn("__sum", F.sum("__one").over(Window.partitionBy(*market)))
+    return out.withColumns({"no_vig": over(F.col("__one"), F.col("__sum")), "overround": F.col("__sum") - 1}).drop("__one", "__sum")
+
+
 def devig(prices: DataFrame, market: Sequence[str], outcome: str, price: str, expected: int | None = None) -> DataFrame:
     """Adds no_vig (share of 1/price in its market), overround and complete.
 
