@@ -59,3 +59,10 @@ EVENT = "SELECT {0} AS event_id, TIMESTAMP '{1}' AS ts, {2} AS user_id, 'view' A
 def test_events_without_value_have_a_share(spark, tmp_path):
     made = [(1, 1, "0.0::DOUBLE"), (2, 1, "3.0"), (3, 1, "NULL"), (4, 2, "0.0"), (5, 3, "-1.0"), (6, 3, "1.0"), (7, "NULL", "1.5"), (8, "NULL", "0.0")]
     assert matches(spark, tmp_path, "devig", events=" UNION ALL ".join(EVENT.format(k, "2024-01-01", user, v) for k, user, v in made))
+
+
+@pytest.mark.parametrize(("event", "bout"), [("00:29:59.9", "01:00:00.8"), ("01:00:00.8", "00:29:59.9"), ("00:00:00", "00:30:00.999999"), ("00:00:00", "00:30:01"), ("23:59:59.5", "23:30:00")])
+def test_parts_of_a_second_dont_count_against_the_window(spark, tmp_path, event, bout):
+    """30 minutes and 0.9 seconds are 1800 whole seconds, though they reach past the next cell of 30 minutes."""
+    assert matches(spark, tmp_path, "event_matching", events=EVENT.format(2, f"2024-01-01 {event}", 7, "1.0") + " UNION ALL " + EVENT.format(3, f"2024-01-01 {bout}", 7, "1.0"))
+    assert matches(spark, tmp_path, "event_matching", events=EVENT.format(2, f"1969-01-01 {event}", 7, "1.0") + " UNION ALL " + EVENT.format(3, f"1969-01-01 {bout}", 7, "1.0"))

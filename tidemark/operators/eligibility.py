@@ -49,14 +49,17 @@ def with_states(quotes: DataFrame, key: list[str], at: str, lookups: Mapping[str
 
 
 def match_events(events: DataFrame, bouts: DataFrame, minutes: int = 30) -> DataFrame:
-    """(event, status, bout, candidates): provider events find bouts by the unordered pair of names within the window, both ends included.
+    """(event, status, bout, candidates): provider events find bouts by the unordered pair of names within the window, both ends included, in whole seconds.
 
-    Time is cut into cells of the window, each event looks into three, so that the join is by equality. One candidate is
-    matched, several are ambiguous, none unmatched. events: event, left, right, at; bouts: bout, left, right, at.
+    Time is cut into cells that are a second longer than the window, as parts of a second don't count against it; each
+    event looks into three, so that the join is by equality. One candidate is matched, several are ambiguous, none
+    unmatched. events: event, left, right, at; bouts: bout, left, right, at.
     """
     pair = lambda p: F.array_sort(F.array(F.lower(F.trim(f"{p}left")), F.lower(F.trim(f"{p}right"))))
-    cell = lambda c: F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c) / (60 * minutes))
-    e = events.select("event", pair("").alias("pair"), F.col("at").alias("e_at"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: cell(F.col("at")) + x)).alias("cell"))
+    width = (60 * minutes + 1) * 1_000_000
+    since = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    cell = lambda c: since(c) - F.pmod(since(c), F.lit(width))  # noqa: E731  (where it begins)
+    e = events.select("event", pair("").alias("pair"), F.col("at").alias("e_at"), F.explode(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda x: cell(F.col("at")) + x * width)).alias("cell"))
     b = bouts.select("bout", pair("").alias("pair"), F.col("at").alias("b_at"), cell(F.col("at")).alias("cell"))
     near = F.abs(F.timestamp_diff("SECOND", F.col("e_at"), F.col("b_at"))) <= 60 * minutes
     hits = e.join(b, ["pair", "cell"]).where(near & (F.get("pair", 0) != F.get("pair", 1))).groupBy("event").agg(F.countDistinct("bout").alias("candidates"), F.min("bout").alias("one"))
