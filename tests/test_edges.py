@@ -12,6 +12,7 @@ from compare import rows
 from tidemark.operators import asof
 from tidemark.plans import audits, boards, cards, evidence, fits, grades, ingests, more, people, publications, walks  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
+from tidemark.sources import scoreboards
 
 
 def matches(spark, folder, name, **tables) -> bool:
@@ -66,3 +67,17 @@ def test_parts_of_a_second_dont_count_against_the_window(spark, tmp_path, event,
     """30 minutes and 0.9 seconds are 1800 whole seconds, though they reach past the next cell of 30 minutes."""
     assert matches(spark, tmp_path, "event_matching", events=EVENT.format(2, f"2024-01-01 {event}", 7, "1.0") + " UNION ALL " + EVENT.format(3, f"2024-01-01 {bout}", 7, "1.0"))
     assert matches(spark, tmp_path, "event_matching", events=EVENT.format(2, f"1969-01-01 {event}", 7, "1.0") + " UNION ALL " + EVENT.format(3, f"1969-01-01 {bout}", 7, "1.0"))
+
+
+def test_nothing_of_an_item_is_worked_out_twice(spark):
+    """What the plan mentions is worked out as often within a lambda; 786 mentions have become 88."""
+    docs = spark.createDataFrame([(1, '{"items":[]}')], "doc int, body string")
+    for made in (scoreboards.prices(docs, "doc", "body"), scoreboards.price_documents(docs, "doc", "body")):
+        assert made._jdf.queryExecution().optimizedPlan().treeString(True, False, 100_000, False, False).lower().count("variant_get") < 200
+
+
+@pytest.mark.parametrize(("written", "read"), [('" \\t+7\\n"', 7), ('"-0"', 0), ('"++7"', None), ('"7 7"', None), ("3000000000", None), ('"3000000000"', None), ("12.9", 12), ("-1.5e1", -15), ("true", None), ("null", None), ('""', None), ("[7]", None)])
+def test_prices_as_they_are_written(spark, written, read):
+    body = f'{{"items":[{{"homeOdds":{{"moneyLine":{written}}},"awayOdds":{{"moneyLine":1}}}}]}}'
+    got = scoreboards.prices(spark.createDataFrame([(1, body)], "doc int, body string"), "doc", "body").where("side = 'home'").collect()
+    assert [r.american for r in got] == ([] if read is None else [read])

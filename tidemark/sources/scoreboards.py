@@ -6,6 +6,8 @@ the first reason; what a reader may pass over (other series, contests that are o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,15 @@ ARRAY, OBJECT = "array<variant>", "map<string,variant>"
 # States of events and contests that are not to come.
 OVER = ("STATUS_FINAL", "STATUS_COMPLETED", "STATUS_CANCELLED", "STATUS_CANCELED", "STATUS_POSTPONED")
 OVER_STATES = ("post", "final")
+BLANKS = " \t\n\v\f\r"
 PRICES = ("moneyLine", "moneyline", "money_line")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is needed more than once: within a lambda each mention of an expression is worked out anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
@@ -34,7 +42,7 @@ def _odd(v: Column, path: str, kind: str) -> Column:
 
 def _text(v: Column, *paths: str) -> Column:
     """The first of the paths that holds a text, trimmed; else empty."""
-    return F.coalesce(*[F.regexp_replace(F.nullif(_get(v, p), F.lit("")), r"^\s+|\s+$", "") for p in paths], F.lit(""))
+    return F.coalesce(*[F.trim(F.nullif(_get(v, p), F.lit("")), F.lit(BLANKS)) for p in paths], F.lit(""))
 
 
 def _instant(text: Column) -> Column:
@@ -52,8 +60,8 @@ def _to_come(v: Column) -> Column:
 
 def _list_reason(v: Column, name: str, item: str) -> Column:
     """Why a document isn't an object with a list of objects under a name."""
-    at = _get(v, name, "variant")
-    return F.when(v.isNull(), "not_json").when(at.isNull(), f"no_{name}").when(~_is(at, ARRAY), f"{name}_not_array").when(F.exists(_get(v, name, ARRAY), lambda i: ~F.coalesce(_is(i, OBJECT), F.lit(False))), f"{item}_not_object")
+    odd = lambda l: F.when(l.isNull(), f"{name}_not_array").when(F.exists(l, lambda i: ~F.coalesce(_is(i, OBJECT), F.lit(False))), f"{item}_not_object")
+    return F.when(v.isNull(), "not_json").when(_get(v, name, "variant").isNull(), f"no_{name}").otherwise(_with(_get(v, name, ARRAY), odd))
 
 
 def _event_reason(e: Column) -> Column:
@@ -110,28 +118,32 @@ def scheduled_fights(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 def _american(at: Column) -> Column:
     """A whole number, as a number (cut to whole) or as a text."""
-    text = F.try_variant_get(at, "$", "string")
-    whole = F.regexp_replace(text, r"^\s*\+?|\s+$", "").try_cast("int")
-    return F.when(F.schema_of_variant(at).rlike("^(DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(at, "$", "double").cast("int")).when(text.rlike(r"^\s*[+-]?\d+\s*$"), whole)
+    whole = lambda text: F.when(text.rlike(r"^[+-]?\d+$"), F.ltrim(text, F.lit("+")).try_cast("int"))
+    part = lambda kind: kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    read = lambda kind: F.when(kind == "BIGINT", F.try_variant_get(at, "$", "int")).when(part(kind), F.try_variant_get(at, "$", "double").cast("int")).otherwise(_with(F.trim(F.try_variant_get(at, "$", "string"), F.lit(BLANKS)), whole))
+    return F.when(at.isNotNull(), _with(F.schema_of_variant(at), read))
 
 
 def _side(item: Column, *names: str) -> Column:
     """Of the first name that holds something its athlete and price; the price may stand under `current`."""
     full = lambda at: F.when(at.isNotNull() & ~F.is_variant_null(at) & (F.coalesce(F.size(F.try_variant_get(at, "$", OBJECT)), F.lit(1)) != 0), at)
-    at = F.coalesce(*[full(_get(item, n, "variant")) for n in names])
-    price = F.coalesce(*[_american(_get(at, f"{top}{p}", "variant")) for top in ("", "current.") for p in PRICES])
-    return F.struct(F.nullif(_text(at, "athlete.id", "athleteId"), F.lit("")).alias("athlete_id"), price.alias("american"))
+    price = lambda at: F.coalesce(*[_with(_get(at, f"{top}{p}", "variant"), _american) for top in ("", "current.") for p in PRICES])
+    own = lambda at: F.struct(F.nullif(_text(at, "athlete.id", "athleteId"), F.lit("")).alias("athlete_id"), price(at).alias("american"))
+    return _with(F.coalesce(*[_with(_get(item, n, "variant"), full) for n in names]), own)
 
 
 def _item(i: Column) -> Column:
     title = F.coalesce(F.nullif(_text(i, "provider.name", "provider.displayName"), F.lit("")), F.lit("espn"))
-    key = keys.bookmaker_key(F.coalesce(F.nullif(_text(i, "provider.id"), F.lit("")), title))
-    return F.struct(key.alias("bookmaker_key"), title.alias("title"), (keys.is_alias(key) | keys.is_alias(title)).alias("refused"), _side(i, "homeTeamOdds", "homeOdds").alias("home"), _side(i, "awayTeamOdds", "awayOdds").alias("away"))
+    book = _with(title, lambda t: F.struct(t.alias("title"), keys.bookmaker_key(F.coalesce(F.nullif(_text(i, "provider.id"), F.lit("")), t)).alias("key")))
+    home, away = _side(i, "homeTeamOdds", "homeOdds"), _side(i, "awayTeamOdds", "awayOdds")
+    return _with(book, lambda b: F.struct(b["key"].alias("bookmaker_key"), b["title"].alias("title"), (keys.is_alias(b["key"]) | keys.is_alias(b["title"])).alias("refused"), home.alias("home"), away.alias("away")))
 
 
 def _priced(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """key, reason, items; without items where there is a reason."""
     v = F.col("__v")
-    return _opened(docs, body).select(key, _list_reason(v, "items", "item").alias("reason"), F.transform(_get(v, "items", ARRAY), _item).alias("items"))
+    judged = _opened(docs, body).select(key, _list_reason(v, "items", "item").alias("reason"), "__v")
+    return judged.select(key, "reason", F.when(F.col("reason").isNull(), F.transform(_get(v, "items", ARRAY), _item)).alias("items"))
 
 
 def _complete(i: Column) -> Column:
@@ -147,6 +159,7 @@ def price_documents(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 def prices(docs: DataFrame, key: str, body: str) -> DataFrame:
     """key, bookmaker_key, title, side, athlete_id, american: both sides of each item that has both; refused books never."""
-    rows = _priced(docs, key, body).where("reason IS NULL").select(key, F.explode(F.filter("items", _complete)).alias("i"))
+    # outer: a filter on the reason, or on the list's length, would have each document read a second time below
+    rows = _priced(docs, key, body).select(key, F.explode_outer(F.filter("items", _complete)).alias("i")).where("i IS NOT NULL")
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"i.{s}.athlete_id").alias("athlete_id"), F.col(f"i.{s}.american").alias("american")) for s in ("home", "away")])
     return rows.select(key, F.col("i.bookmaker_key").alias("bookmaker_key"), F.col("i.title").alias("title"), F.inline(sides))
