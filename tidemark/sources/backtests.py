@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import walkforward
-from tidemark.operators.ledger import stored
+from tidemark.operators.ledger import PACKED, stored, sweeping
 from tidemark.operators.walkforward import Model, Walk
 from tidemark.sources.ingest import Store, bucket_of
 
@@ -51,6 +51,7 @@ class Backtest(Store):
         moments, hits = (self._table(n, self._schemas[n]).where(F.col("batch") == last).drop("batch", "bucket") for n in ("moments", "hits"))
         return Walk(self.predictions(), moments, hits, self._table("fits", FIT))
 
+    @sweeping
     def advance(self, contests: DataFrame, cards: DataFrame, versions: DataFrame, until: datetime, between: Callable[[str], None] = lambda step: None) -> None:
         """Predicts the cards after the last advance and up to a time, from results seen until then. A contest whose card has no cutoff is never reached."""
         after, numbers = self.reached(), self._numbers()
@@ -73,6 +74,6 @@ class Backtest(Store):
             "moments": walkforward.compact(walked.moments, self.model.sums, until).withColumn("bucket", F.lit(0)), "hits": walkforward.compact(walked.hits, ("n", "won"), until, ("bin",)).withColumn("bucket", F.lit(0)),
         }
         for name, rows in parts.items():
-            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
+            rows.repartition("bucket").write.options(**PACKED).partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
             between(name)
         self._publish((numbers[-1] if numbers else 0) + 1, {"number": (numbers[-1] if numbers else 0) + 1, "batch": batch, "run": batch, "source": "walk", "stream": "walk", "scope": "all", "version": "v1", "token": until.isoformat(timespec="microseconds")})

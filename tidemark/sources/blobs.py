@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ledger import PACKED, swept
+
 SCHEMA = "digest string, payload binary, prefix string"
 
 
@@ -26,7 +28,8 @@ def put(payloads: DataFrame, root: str, payload: str = "payload") -> int:
     new = rows.groupBy("digest").agg(F.any_value("payload").alias("payload")).join(blobs(rows.sparkSession, root).select("digest"), "digest", "left_anti")
     new = new.withColumn("prefix", F.substring("digest", 1, 2))
     before = blobs(rows.sparkSession, root).count()
-    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(root)
+    with swept(rows.sparkSession):
+        new.repartition("prefix").write.options(**PACKED).mode("append").partitionBy("prefix").parquet(root)
     return blobs(rows.sparkSession, root).count() - before
 
 

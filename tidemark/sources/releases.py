@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from tidemark.operators.ledger import stored
+from tidemark.operators.ledger import PACKED, dropped, stored, sweeping
 from tidemark.sources import blobs
 from tidemark.sources.ingest import Store, bucket_of
 
+#: The most hex digits that a page is named by.
+DEEPEST = 10
 PAGE = "doc string, page string, n long, digest string"
 
 
@@ -44,9 +46,9 @@ def pages_of(rows: DataFrame, doc: str, key: Sequence[str], fields: Sequence[str
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     item = F.struct(*[canonical(F.col(c), kinds[c]).alias(c) for c in sorted(fields)])
-    there = rows.where(F.col(doc).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("k"), item.alias("item"), F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in key]), 256).alias("h"))
+    there = rows.where(F.col(doc).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("k"), item.alias("item"), F.substring(F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in key]), 256), 1, DEEPEST).alias("h"))
     n = F.col("rows")
-    depth = sum(((n > size * 16**k).cast("int") for k in range(10)), F.lit(0))
+    depth = sum(((n > size * 16**k).cast("int") for k in range(DEEPEST)), F.lit(0))
     depths = there.groupBy("doc").agg(F.count("*").alias("rows")).select("doc", depth.alias("depth"))
     placed = there.join(depths, "doc").select("doc", F.expr("substring(h, 1, depth)").alias("page"), F.struct("k", "item").alias("v"))
     made = placed.groupBy("doc", "page").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list("v")), lambda v: v["item"]).alias("items"))
@@ -103,6 +105,7 @@ class Releases(Store):
         """doc, page, body."""
         return self.pages(release).join(blobs.blobs(self.spark, f"{self.root}/payloads"), "digest").select("doc", "page", F.col("payload").cast("string").alias("body"))
 
+    @sweeping
     def publish(self, release: str, rows: DataFrame, doc: str, key: Sequence[str], fields: Sequence[str], size: int = 1000, refuse: Mapping[str, Column] | None = None, between: Callable[[str], None] = lambda step: None) -> int:
         """Makes a release current; gives how many pages had to be written. A row for which a test of `refuse` holds stops it before anything is written, as do no rows."""
         tests = {n: F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in (refuse or {}).items()}
@@ -116,8 +119,9 @@ class Releases(Store):
         written = blobs.put(made.select(F.col("body").alias("payload")), f"{self.root}/payloads")
         between("payloads")
         batch = uuid.uuid4().hex
-        made.select("doc", "page", "n", "digest", bucket_of(self.buckets, "doc", "page").alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/pages/batch={batch}")
+        made.select("doc", "page", "n", "digest", bucket_of(self.buckets, "doc", "page").alias("bucket")).repartition("bucket").write.options(**PACKED).partitionBy("bucket").parquet(f"{self.root}/pages/batch={batch}")
         between("pages")
         root = root_digest(document_digests(made))
+        dropped(made)
         self._publish(number, {"number": number, "batch": batch, "run": release, "source": "release", "stream": "release", "scope": "all", "version": "v1", "token": root})
         return written
