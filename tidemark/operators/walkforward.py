@@ -79,6 +79,7 @@ def totals_at(changes: DataFrame, asks: DataFrame, sums: Sequence[str], keys: Se
     """
     zero = [F.lit(0).cast(changes.schema[s].dataType).alias(s) for s in sums]
     line = changes.select(*keys, "at", "kind", *sums).unionByName(asks.select(*keys, "at").distinct().select(*keys, "at", F.lit(ASKS).alias("kind"), *zero))
+    line = stored(line, "walk-line")  # dealing by ranges reads its input twice
     spread = stored(line.repartitionByRange(*keys, "at", "kind").withColumn("part", F.spark_partition_id()), "walk-line")
     here = Window.partitionBy("part", *keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +156,7 @@ def walk(contests: DataFrame, cards: DataFrame, versions: DataFrame, model: Mode
     side = F.col("sign") * (2 * F.col("y") - 1)
     terms = [F.col("sign").cast(WHOLE), *[(side * F.col("x")[i]).cast(WHOLE) for i in range(d)], *[F.col("sign").cast(WHOLE) * (v(i) * v(j)).cast(WHOLE) for i in range(d) for j in range(i, d)]]
     moments = changes.groupBy("at", "kind").agg(*[F.sum(t).cast("decimal(38,0)").alias(s) for s, t in zip(model.sums, terms, strict=True)])
-    moments = _start(state and state.moments, moments)
+    moments = stored(_start(state and state.moments, moments), "walk-moments")
 
     asks = usable.where(new).select(F.col("cutoff").alias("at"))
     fresh = stored(fits_at(moments, asks, model), "walk-fits")
@@ -165,11 +166,13 @@ def walk(contests: DataFrame, cards: DataFrame, versions: DataFrame, model: Mode
     into = F.least(F.floor(raw * model.bins), F.lit(model.bins - 1)).cast("int")
     told = changes.join(known, "cutoff").select("sign", "y", "at", "kind", into.alias("bin"))
     hits = told.groupBy("bin", "at", "kind").agg(F.sum("sign").cast("decimal(38,0)").alias("n"), F.sum(F.col("sign") * F.col("y")).cast("decimal(38,0)").alias("won"))
-    hits = _start(state and state.hits, hits)
+    hits = stored(_start(state and state.hits, hits), "walk-hits")
 
     mine = base.where(new | F.col("cutoff").isNull()) if after is not None else base
     scored = mine.join(known, "cutoff", "left").withColumn("raw", raw).withColumn("bin", F.when(F.col("raw").isNotNull(), into))
-    seen = totals_at(hits, scored.where("bin IS NOT NULL").select("bin", F.col("cutoff").alias("at")), ("n", "won"), ("bin",)).withColumnRenamed("at", "cutoff")
+    # every bin of the cards is asked for, which needs no pass over the contests
+    asked = fresh.select("at", F.explode(F.sequence(F.lit(0), F.lit(model.bins - 1))).alias("bin"))
+    seen = totals_at(hits, asked, ("n", "won"), ("bin",)).withColumnRenamed("at", "cutoff")
     n, won = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("n", "won"))
     p = (won + model.prior * F.col("raw")) / (n + model.prior)
     status = F.when(F.col("cutoff").isNull(), "no_cutoff").when(F.col("x").isNull(), "no_features").otherwise("scored")

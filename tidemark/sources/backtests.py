@@ -58,7 +58,7 @@ class Backtest(Store):
         if after is not None and until <= after:
             raise Backward(f"{until} isn't after {after}")
         now = F.lit(until).cast("timestamp_ntz")
-        seen, due = versions.where(F.col("seen") <= now), cards.groupBy("card").agg(F.min("cutoff").alias("cutoff")).where(F.col("cutoff") <= now)
+        seen, due = versions.where(F.col("seen") <= now), stored(cards.groupBy("card").agg(F.min("cutoff").alias("cutoff")), "walk-cards").where(F.col("cutoff") <= now)
         mine, state = contests.join(due, "card", "left_semi"), None
         if after is not None:
             then = F.lit(after).cast("timestamp_ntz")
@@ -67,10 +67,9 @@ class Backtest(Store):
             mine, seen = (df.join(touched, "contest", "left_semi") for df in (mine, seen))
             state = self._state()
         walked = walkforward.walk(mine, due, seen, self.model, after, state)
-        predictions = stored(walked.predictions, "walk-predictions")
         batch = uuid.uuid4().hex
         parts = {
-            "predictions": predictions.withColumn("bucket", bucket_of(self.buckets, "contest")), "fits": walked.fits.withColumn("bucket", bucket_of(self.buckets, "at")),
+            "predictions": walked.predictions.withColumn("bucket", bucket_of(self.buckets, "contest")), "fits": walked.fits.withColumn("bucket", bucket_of(self.buckets, "at")),
             "moments": walkforward.compact(walked.moments, self.model.sums, until).withColumn("bucket", F.lit(0)), "hits": walkforward.compact(walked.hits, ("n", "won"), until, ("bin",)).withColumn("bucket", F.lit(0)),
         }
         for name, rows in parts.items():
